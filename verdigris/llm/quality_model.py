@@ -19,24 +19,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, read, staged
+from .common import BLANK, read, staged
 
 SHRINK, RIDGE, ACCEPT = 0.2, 0.02, 0.3
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Transformed document statistics; each is 0 for an empty text."""
+    """Transformed document statistics. Rates have a few plain characters or words added, so that they mean little in a short text."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    chars = F.greatest(F.length(text), F.lit(1))
-    words = F.greatest(count(WORD), F.lit(1))
+    chars, all_words = F.length(text), F.split(text, BLANK + "+")
+    words = F.size(all_words) + 5
     return {
-        "_f0": F.log1p(F.length(text)),
+        "_f0": F.ln(F.size(F.array_distinct(all_words)) + 5.0) / F.ln(words),
         "_f1": F.sqrt(count(r"[#$%&*<>]") / words),
         "_f2": F.sqrt(count(r"!") / words),
         "_f3": F.sqrt(count(r"\|") / words),
-        "_f4": F.sqrt(count(r"\p{Lu}") / chars),
-        "_f5": F.sqrt(count(r"[0-9]") / chars),
-        "_f6": F.log1p((chars - count(BLANK)) / words),
+        "_f4": F.sqrt(count(r"\p{Lu}") / (chars + 40)),
+        "_f5": F.sqrt(count(r"[0-9]") / (chars + 40)),
+        "_f6": F.ln((chars + 25) / words),
         "_f7": F.sqrt(count(r"[.,]") / words),
     }
 
