@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_model, sharding
+from . import html_text, mixing, quality_model, rules, sharding, tokens, urls
 
 QUERIES = {
+    "op3_html_extraction": html_text.op3,
+    "op4_url_filter": urls.op4,
     "op5_sharding": sharding.op5,
     "op6_quality_classifier": quality_model.op6,
+    "op7_token_counts": tokens.op7,
+    "op8_quality_rules": rules.op8,
     "op9_source_mixing": mixing.op9,
 }
 
 ORACLES = {
     "op5_sharding": sharding.ORACLE,
+    "op8_quality_rules": rules.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
 }
