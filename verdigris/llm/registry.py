@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, quality_model, rules, sharding, tokens, urls
+from . import html_text, mixing, phrase_index, quality_model, rules, sharding, tokens, urls
 
 QUERIES = {
+    "op1_decontamination": phrase_index.op1,
     "op3_html_extraction": html_text.op3,
     "op4_url_filter": urls.op4,
     "op5_sharding": sharding.op5,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontamination": phrase_index.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op8_quality_rules": rules.ORACLE,
     "op9_source_mixing": mixing.ORACLE,

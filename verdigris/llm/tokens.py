@@ -60,7 +60,7 @@ def load(path: str):
 class Lengths(dict):
     """Token counts of pre-tokens that the broadcast table lacks, encoded once each."""
 
-    MOST = 300_000
+    MOST = 1_000_000
 
     def __init__(self, tokenizer, frequent: dict[str, int]):
         super().__init__(frequent)
