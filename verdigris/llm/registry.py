@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, phrase_index, quality_model, rules, sharding, tokens, urls
+from . import html_text, mixing, phrase_index, quality_model, rules, sharding, substring_dedup, tokens, urls
 
 QUERIES = {
     "op1_decontamination": phrase_index.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_counts": tokens.op7,
     "op8_quality_rules": rules.op8,
     "op9_source_mixing": mixing.op9,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_sharding": sharding.ORACLE,
     "op8_quality_rules": rules.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
