@@ -4,24 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import mixing, quality_model, sharding
+from verdigris.llm import jaccard_join, mixing, phrase_index, quality_model, sharding
 from verdigris.llm.common import read, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to all labelled documents, accepts."""
     return quality_model.accepted(docs, read(spark, sf_dir, "labels"))
 
 
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram Jaccard links connect."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    return phrase_index.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard."""
     return sharding.shard(docs)
 
 
-STAGES = [("quality", quality), ("mixing", mixing_sources), ("sharding", shards)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mixing", source_mixing), ("sharding", shards)]
 
+#: The classifier's fit has no SQL form; tests hold run() against a plain version of every stage.
 ORACLE_SQL = None
 
 

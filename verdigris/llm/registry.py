@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, phrase_index, quality_model, rules, sharding, substring_dedup, tokens, urls
+from . import html_text, jaccard_join, mixing, phrase_index, quality_model, rules, sharding, substring_dedup, tokens, urls
 
 QUERIES = {
     "op1_decontamination": phrase_index.op1,
+    "op2_jaccard_join": jaccard_join.op2,
     "op3_html_extraction": html_text.op3,
     "op4_url_filter": urls.op4,
     "op5_sharding": sharding.op5,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontamination": phrase_index.ORACLE,
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op8_quality_rules": rules.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
