@@ -4,7 +4,7 @@ The statistics are counts of character classes, brought to a common form by squa
 For each class the mean and the covariance come from sums over all labelled rows, gathered by one
 aggregate; the covariance is shrunk towards its diagonal and given a small ridge, and factored once
 by Cholesky. A document's score is the logistic function of the difference of the two log densities,
-computed by forward substitution with the cached factors, as a column expression.
+computed with the cached factors as one column expression.
 
 Defined results: a null or empty text has the statistics of no characters; where no label of one
 class is known the score is the share of good labels (0.5 without any); labels that repeat for an id
@@ -64,28 +64,25 @@ class Discriminant:
             cov = second / k - np.outer(mean, mean)
             cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + ridge * ridge * np.eye(len(mean))
             factor = np.linalg.cholesky(cov)
-            self.classes[c] = (mean, factor, 2 * float(np.log(np.diag(factor)).sum()), math.log(k / n))
+            self.classes[c] = (mean, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()), math.log(k / n))
 
     def _log_density(self, c: int) -> Column:
-        mean, factor, log_det, prior = self.classes[c]
-        solved: list[Column] = []
-        for i, name in enumerate(FEATURES):
-            value = F.col(name) - float(mean[i])
-            for j in range(i):
-                value = value - float(factor[i, j]) * F.col(f"_y{c}_{j}")
-            solved.append(value / float(factor[i, i]))
-        return solved, -0.5 * (log_det - 2 * prior)
+        """Up to a constant: half of log prior squared, less log determinant and Mahalanobis distance, the squared length of the centred statistics under the inverse factor."""
+        mean, inverse, log_det, prior = self.classes[c]
+        distance = F.lit(0.0)
+        for i in range(len(FEATURES)):
+            y = F.lit(0.0)
+            for j in range(i + 1):
+                y = y + float(inverse[i, j]) * (F.col(FEATURES[j]) - float(mean[j]))
+            distance = distance + F.pow(y, 2)
+        return (2 * prior - log_det - distance) / 2
 
     def scored(self, rows: DataFrame, to: str = "score") -> DataFrame:
         """rows, which hold the statistics, with a score from 0 to 1."""
         if self.constant is not None:
             return rows.withColumn(to, F.lit(float(self.constant)))
-        own = rows.columns
-        for i in range(len(FEATURES)):  # forward substitution, a coordinate at a time
-            rows = rows.withColumns({f"_y{c}_{i}": self._log_density(c)[0][i] for c in (0, 1)})
-        log = {c: sum((F.col(f"_y{c}_{i}") * F.col(f"_y{c}_{i}") for i in range(len(FEATURES))), F.lit(0.0)) * -0.5 + self._log_density(c)[1] for c in (0, 1)}
-        ratio = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log[1] - log[0]))
-        return rows.select(*own, (1 / (1 + F.exp(-ratio))).alias(to))
+        ratio = self._log_density(1) - self._log_density(0)
+        return rows.withColumn(to, 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio)))))
 
 
 def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
