@@ -2,7 +2,7 @@
 
 A byte-level BPE tokenizer encodes each pre-token apart, so a text has as many tokens as its
 pre-tokens have together. The first pass counts pre-tokens over all documents; the most frequent ones
-(a fixed number, of bounded length) and their token counts are broadcast as one dictionary. In the
+(as many of the upper count levels as a fixed number holds, each of bounded length) and their token counts are broadcast as one dictionary. In the
 second pass every worker looks pre-tokens up there, and encodes those it misses once, keeping them in
 a cache of its own that is emptied when full. No pre-token is shuffled in the second pass, and the
 first sends a bounded table from each task.
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import read, slices, staged
 
 FREQUENT, LONGEST, TABLE, LIMIT = 32_768, 24, 20_000, 512
 
@@ -93,9 +93,15 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", most: in
                 seen.clear()
         yield out()
 
-    counts = docs.select(text_col).mapInArrow(count, "piece string, n long")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return [r["piece"] for r in top.collect()]
+    counts = docs.select(text_col).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = staged(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "piece-counts")
+    kept, least = 0, None
+    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # 1,008 levels at most
+        kept += r["k"]
+        if kept > most:
+            break
+        least = r["level"]
+    return [] if least is None else sorted(r["piece"] for r in counts.where(F.col("level") >= least).select("piece").collect())
 
 
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
