@@ -8,6 +8,9 @@ PAGES = {
     "<article><h1>T &amp; U</h1><p>One\n two<br>three<p>Four</article><footer>F</footer>": "T & U\n\nOne two three\n\nFour",
     "<nav><a href='x'>Menu</a></nav><div class='ad'>Buy</div><article><p>A</p><aside>side</aside><div class=\"share-links\">s</div><p>B.</p><section class='comments'><p>nice</p></section></article>": "A\n\nB.",
     "<body><div id='header'><p>Site</p></div><div class='content'><p>A long enough paragraph of text.</p><p>Be.</p><p>Another long enough paragraph.</p></div><div class='cookie-notice'>We use cookies on this site, accept them.</div></body>": "A long enough paragraph of text.\n\nBe.\n\nAnother long enough paragraph.",
+    "<div class='main-nav'><p>Nav text that is long enough</p></div><div role=main><header><h1>Title</h1></header><p>Text <span class='share'>Share <b>it</b></span> goes on.</p><div class='entry-footer'>f</div></div>": "Title\n\nText goes on.",
+    "<body class='has-sidebar'><div id='sidebar'><p>A sidebar paragraph of some length.</p></div><p>The text of the page.</p></body>": "The text of the page.",
+    "<article><p>A</p><div class='related'><ul><li>x<li>y</ul><p>z</p><p>w</p></div><p>B</p></article>": "A\n\nB",
     "<main><form><p>Name</p><input></form><p>x &lt;b&gt; y&nbsp;z</p><script>var a='</p>';</script><style>p{}</style><!-- <p>no</p> --><ul><li>one</li><li>two</li></ul></main>": "x <b> y z\n\none\n\ntwo",
     "<article><p>A <b>bold <i>and</i> word</b>s</p><pre>  keep\n  this </pre></article>": "A bold and words\n\nkeep this",
     "<article><p data-x=\"a > b\">A</p><p hidden>no</p><p>B</article>": "A\n\nB",

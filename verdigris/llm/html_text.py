@@ -27,13 +27,12 @@ WINDOW, SURGE, LINK_SHARE = 3, 20, 0.6
 # Element names and the words of class, id and role that mark what is not the text.
 RAW = "script|style|noscript|template|textarea|select|option|svg|math|iframe|object|canvas|audio|video|title|button"
 APART = frozenset("nav header footer aside form menu dialog head fieldset".split())
-HEADED = frozenset(("header",))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN_WORDS = re.compile(r"\b(?:articlebody|main)\b")
+MAIN_NAMES = frozenset("main articlebody article-body article-content main-content maincontent post-content post-body entry-content story-body".split())
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
     "sidebar side-bar aside widget widgets cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay "
@@ -49,32 +48,44 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-h
 SPACES = re.compile(r"\s+")
 
 
-def marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes set it apart from the text, and whether they mark the article."""
+def marks(attributes: str) -> tuple[set[str], bool, bool]:
+    """The words by which an element's attributes set it apart from the text, whether it is hidden, and whether they mark the article."""
     if not attributes or attributes.isspace():
-        return False, False
+        return set(), False, False
     values = " ".join(next(v for v in m if v) if any(m) else "" for m in NAMED.findall(attributes)).lower()
+    names = set(values.split())
     words = set(re.split(r"[\s_]+", values)) | set(re.split(r"[\s_-]+", values))
-    return bool(words & APART_WORDS) or bool(HIDDEN.search(attributes)), bool(MAIN_WORDS.search(values))
+    return words & APART_WORDS, bool(HIDDEN.search(attributes)), bool(names & MAIN_NAMES)
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length that counts, inside an article) for every block of the page, in order."""
+    """(text, length that counts, inside an article) for every block of the page, in order. What is set apart leaves lines without text."""
     page = RAW_PART.sub(" ", page)
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int, int]] = []  # name, apart, main: as they were outside
     buffer: list[str] = []
     apart = main = linked = links = 0
+    dropped = False
+
+    def add(piece: str) -> None:
+        nonlocal linked, dropped
+        if apart:
+            dropped = dropped or not piece.isspace()
+            return
+        buffer.append(piece)
+        if links:
+            linked += len(piece)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, dropped
         text = SPACES.sub(" ", html.unescape("".join(buffer))).strip()
         if text:
-            share = linked / max(1, len(text))
-            heavy = share >= LINK_SHARE and not main
-            out.append((text, 0 if apart or heavy else len(text), main > 0))
+            mostly_links = linked / len(text) >= LINK_SHARE and not main
+            out.append((text, 0 if mostly_links else len(text), main > 0))
+        elif dropped:
+            out.append(("", 0, False))
         buffer.clear()
-        linked = 0
+        linked, dropped = 0, False
 
     def close(name: str) -> None:
         nonlocal apart, main
@@ -89,14 +100,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     at = 0
     for m in TAG.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            buffer.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        name = m[2].lower()
+            add(page[at : m.start()])
+        at, name = m.end(), m[2].lower()
         if name == "br":
-            buffer.append(" ")
+            add(" ")
         elif name == "a":
             links = 0 if m[1] else 1
         if name in BLOCKS:
@@ -104,20 +111,21 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID:
             continue
         if m[1]:
-            if name in BLOCKS or apart:
-                close(name)
+            close(name)
             continue
         if name in CLOSES_P:
             close("p")
-        off, is_main = marks(m[3])
-        whole = name in ("body", "html", "main", "article")
-        if name in BLOCKS or off:
+        words, hidden, is_main = marks(m[3])
+        if main:
+            words = words - {"header"}  # the article's own heading
+        off = bool(words or hidden) or name in APART and not (name == "header" and main)
+        if name in BLOCKS or off or apart:
             stack.append((name, apart, main))
-            if not whole and (name in APART or off) and not (is_main and name not in APART):
-                apart += 1
-            if name in ("article", "main") or is_main:
+            if name in ("article", "main") or is_main and name not in APART:
                 main += 1
-    buffer.append(page[at:])
+            elif off and name not in ("body", "html"):
+                apart += 1
+    add(page[at:])
     flush()
     return out
 
