@@ -9,8 +9,8 @@ from verdigris.llm.common import read, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to all labelled documents, accepts."""
-    return quality_model.accepted(docs, read(spark, sf_dir, "labels"))
+    """Documents that the classifier accepts; held-out labels stay out of its fit here too."""
+    return quality_model.accepted(docs, quality_model.training_labels(read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
