@@ -36,7 +36,7 @@ def keyed(docs: DataFrame, seed: int, weight: Column, *, id_col: str, source_col
     """docs with _source (sortable, null last), _size, _key."""
     u = (hash60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")))) + 0.5) / float(1 << 60)
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t"))
-    return docs.withColumns({"_source": source, "_size": word_count(F.col(text_col)), "_key": -F.ln(u) / weight})
+    return docs.withColumns({"_source": source, "_size": word_count(F.col(text_col)), "_key": F.greatest(-F.ln(u) / weight, F.lit(1e-18))})
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
