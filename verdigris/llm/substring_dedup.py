@@ -175,7 +175,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS) -> DataFrame:
     """From rows (row, doc_id, text): (row, first, windows), the runs of windows that start earlier elsewhere."""
     found = rows.select("row", "text").mapInArrow(_minimizers, "minimizer long, row long, first int")
-    twice = found.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer")
+    # staged, so that the join shuffles both sides for itself and a hot minimizer's rows can be split
+    twice = staged(found.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "minimizers-seen-twice")
     firsts = found.join(twice, "minimizer").groupBy("row").agg(F.collect_list("first").alias("firsts"))  # of one document
     some = staged(rows.join(firsts, "row").select("row", "doc_id", "text", "firsts").mapInArrow(_segments, SEGMENT), "segments")
 
