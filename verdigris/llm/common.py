@@ -30,7 +30,15 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="verdigris-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{root}/verdigris-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged. Results are lazy, so call it only when they have been written or collected."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/verdigris-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
