@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, read, staged
+from .common import BLANK, bind, read, staged
 
 SHRINK, RIDGE, ACCEPT = 0.2, 0.02, 0.3
 
@@ -66,23 +66,30 @@ class Discriminant:
             factor = np.linalg.cholesky(cov)
             self.classes[c] = (mean, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()), math.log(k / n))
 
-    def _log_density(self, c: int) -> Column:
+    def _log_density(self, c: int, values: list[Column]) -> Column:
         """Up to a constant: half of log prior squared, less log determinant and Mahalanobis distance, the squared length of the centred statistics under the inverse factor."""
         mean, inverse, log_det, prior = self.classes[c]
         distance = F.lit(0.0)
-        for i in range(len(FEATURES)):
+        for i in range(len(values)):
             y = F.lit(0.0)
             for j in range(i + 1):
-                y = y + float(inverse[i, j]) * (F.col(FEATURES[j]) - float(mean[j]))
+                y = y + float(inverse[i, j]) * (values[j] - float(mean[j]))
             distance = distance + F.pow(y, 2)
         return (2 * prior - log_det - distance) / 2
 
-    def scored(self, rows: DataFrame, to: str = "score") -> DataFrame:
-        """rows, which hold the statistics, with a score from 0 to 1."""
+    def _score(self, values: list[Column]) -> Column:
+        ratio = self._log_density(1, values) - self._log_density(0, values)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio))))
+
+    def score(self, values: list[Column]) -> Column:
+        """A score from 0 to 1 from the statistics, each computed once a row: the optimizer would copy them into every term."""
         if self.constant is not None:
-            return rows.withColumn(to, F.lit(float(self.constant)))
-        ratio = self._log_density(1) - self._log_density(0)
-        return rows.withColumn(to, 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio)))))
+            return F.lit(float(self.constant))
+        return bind(F.array(*values), lambda v: self._score([v[i] for i in range(len(values))]))
+
+    def scored(self, rows: DataFrame, to: str = "score") -> DataFrame:
+        """rows, which hold the statistics, with a score."""
+        return rows.withColumn(to, self.score([F.col(f) for f in FEATURES]))
 
 
 def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
@@ -112,9 +119,9 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT) -> DataFrame:
     """docs' rows whose score reaches the threshold, with docs' columns. The statistics of labelled rows are read once for the fit; every row's are computed again where its text is, so no text is shuffled."""
-    full = with_statistics(docs)
-    model = fit(full, labels)
-    return model.scored(full).where(F.col("score") >= threshold).select(*docs.columns)
+    model = fit(with_statistics(docs), labels)
+    score = model.score(list(statistics(F.coalesce(F.col("text"), F.lit(""))).values()))
+    return docs.where(score >= threshold)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
