@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from verdigris.llm import jaccard_join
 from verdigris.llm.components import components
 from verdigris.llm.jaccard_join import Join, one_of_each, prefix_length
 
@@ -62,6 +63,42 @@ def test_against_brute_force(spark, docs_of, seed):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(docs)
 
 
+def linked(docs):
+    """How many other rows each row is linked with."""
+    sets = [shingles(t) for _, t in docs]
+    out = [0] * len(docs)
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                out[i] += 1
+                out[j] += 1
+    return sorted((d, n) for (d, _), n in zip(docs, out))
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_links_against_brute_force(spark, docs_of, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_OF", block)
+    docs = cases(3)
+    rng, base = random.Random(4), [f"x{k}" for k in range(100)]
+    # near copies that differ at one place each: all of them are linked with one another
+    docs += [(1000 + k, " ".join([*base[:p], f"y{k}", *base[p + 1 :]])) for k in range(30) for p in [rng.randrange(100)]]
+    docs += [(1100 + k, docs[-1][1]) for k in range(3)]
+    join = Join(docs_of(docs).repartition(5))
+    got = join.result().collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == linked(docs)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(docs)
+    pairs = [(r["u"], r["v"]) for r in join.links().collect()]
+    assert len(pairs) == len(set(pairs)) and all(u < v for u, v in pairs)
+
+
+def test_shared_shingles_behind_the_other_prefix_count(spark, docs_of):
+    base = " ".join(f"x{k}" for k in range(50))
+    docs = [(1, base), (2, base + " a b c d e f")]
+    got = Join(docs_of(docs)).result().collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_one_of_each(spark, docs_of):
     docs = [(5, "a b c d e f g"), (2, "A b c d e f g"), (9, "x y z u"), (7, None), (8, None), (9, "x y z u"), (2, "A b c d e f g")]
     table = docs_of(docs)

@@ -13,9 +13,12 @@ prefixes selective). Two sets that reach the threshold share a shingle of their
    shared; the suffix filter bounds the overlap by the sets' counts over fixed ranges of the hash)
    and are verified on the whole sets, once;
 4. links make components. Where a shingle still has classes of different components, all their pairs
-   across components follow, through the same filters; pairs inside a component would not change it.
+   across components follow, through the same filters; so the components are those of all links;
+5. every link lies inside a component, so what is left of the join are the pairs inside components:
+   all of a shingle and component, through the same filters, less those looked at before. Components
+   are cut into blocks of BLOCK_OF classes, and a task's unit is two blocks, of candidates as well as of sets.
 
-Components are therefore those of all links. Defined results: null, empty and blank texts have the
+Links are pairs of classes; documents of one class are linked too. Defined results: null, empty and blank texts have the
 empty set and are linked with nothing; a text of fewer words than a shingle is one shingle; repeated
 rows have equal sets; a null id counts as larger than any; no rows give no rows.
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from .common import WordHashes, grams, mixed, read, slices, staged, utf8
 from .components import components
 
 SIZE, PERCENT = 4, 85
-SKETCH, BLOCK, RANGES = 1 << 20, 4096, 16
+SKETCH, BLOCK, RANGES, BLOCK_OF = 1 << 20, 4096, 16, 128
 
 
 def shingle_sets(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> Iterator[np.ndarray]:
@@ -151,6 +155,34 @@ def _verified(percent: int):
     return run
 
 
+CELL = ["component", "bu", "bv"]
+
+
+def _verified_in_cells(percent: int):
+    """As _verified, over rows sorted by cell: the sets of a cell (no v), then its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            left, right = [], []
+            columns = [batch.column(c).to_pylist() for c in (*CELL, "u", "v")]
+            for k, (*at, u, v) in enumerate(zip(*columns)):
+                if at != cell:
+                    cell, sets = at, {}
+                if v is None:
+                    sets[u] = np.frombuffer(batch.column("elements")[k].as_py(), np.uint64)
+                    continue
+                a, b = sorted((sets[u], sets[v]), key=len)
+                at = np.searchsorted(b, a)
+                shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
+                    left.append(u)
+                    right.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    return run
+
+
 class Join:
     """The join of one corpus: facts, postings and sets are staged once, both rounds use them."""
 
@@ -167,7 +199,8 @@ class Join:
         band = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
         own = F.count("*").over(Window.partitionBy("class"))
         rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - own)
-        self.postings = staged(found.join(shared, "token").withColumn("rest", rest.cast("int")).withColumn("band", band), "join-postings")
+        found = found.join(shared, "token").repartition("class").dropDuplicates(["class", "token"])  # classes come from several tasks
+        self.postings = staged(found.withColumn("rest", rest.cast("int")).withColumn("band", band), "join-postings")
         first = self.documents.groupBy("class").agg(F.min_by("row", F.struct(F.col("doc_id"), F.col("row"))).alias("row"))
         wanted = first.join(self.postings.select("class").distinct(), "class")
         texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"])  # where the join has put them
@@ -178,19 +211,22 @@ class Join:
         return F.ceil((a + b) * self.percent / (100.0 + self.percent) - 1e-9)
 
     def _possible(self, x: str, y: str) -> Column:
-        """Length filter, and what is left of either set once the prefix shingles that no other class has are off."""
+        """Length filter, and what is left of a set once the prefix shingles that no other prefix has are off: a bound for the set whose prefix ends first (the other's may stand behind that prefix), so the larger of both."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        return sizes & (F.least(f"{x}.rest", f"{y}.rest") >= self._overlap(n, m))
+        return sizes & (F.greatest(f"{x}.rest", f"{y}.rest") >= self._overlap(n, m))
 
-    def _links(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (u, v) that reach the threshold: suffix filter, then the sets themselves."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the suffix filter."""
         ranges = self.sets.select("class", "n", "ranges")
         near = pairs.join(ranges.toDF("u", "n", "a"), "u").join(ranges.toDF("v", "m", "b"), "v")
         apart = F.aggregate(F.zip_with("a", "b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, x: s + x)
-        near = near.where(apart <= F.col("n") + F.col("m") - 2 * self._overlap(F.col("n"), F.col("m"))).select("u", "v")
+        return near.where(apart <= F.col("n") + F.col("m") - 2 * self._overlap(F.col("n"), F.col("m"))).select(*pairs.columns)
+
+    def _links(self, pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (u, v) that reach the threshold: suffix filter, then the sets themselves."""
         whole = self.sets.select("class", "elements")
-        both = near.join(whole.toDF("u", "ea"), "u").join(whole.toDF("v", "eb"), "v")
+        both = self._near(pairs).join(whole.toDF("u", "ea"), "u").join(whole.toDF("v", "eb"), "v")
         return staged(both.select("u", "v", "ea", "eb").mapInArrow(_verified(self.percent), "u long, v long"), label)
 
     def starred(self) -> DataFrame:
@@ -216,26 +252,79 @@ class Join:
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that are not their component's first."""
-        pairs = self.starred()
-        known = components(self._links(pairs, "join-links"))
-        more = self._links(self.across(known, pairs), "join-links")
-        return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+        return self._connected[0]
 
-    def result(self) -> DataFrame:
-        """One row a document: doc_id, row (text hash), n_shingles, component_id, and first: whether it is its component's first by id and text hash (equal rows all are)."""
-        docs = self.documents.join(self.components().withColumnRenamed("node", "class"), "class", "left")
+    @cached_property
+    def _connected(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The components, the pairs looked at on the way to them, and the links among those."""
+        pairs = self.starred()
+        links = self._links(pairs, "join-links")
+        known = components(links)
+        open_pairs = self.across(known, pairs)
+        more = self._links(open_pairs, "join-links")
+        known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+        return known, pairs.unionAll(open_pairs), links.unionAll(more)
+
+    def inside(self) -> DataFrame:
+        """The pairs (component, bu, bv, u, v) of one shingle and component that no round before has looked at, with the blocks of both classes. Filters as in across()."""
+        known, done, _ = self._connected
+        members = known.select(F.col("node").alias("class"), "component").unionAll(known.select(F.col("component").alias("class"), "component").distinct())
+        blocks = known.groupBy("component").agg(F.ceil((F.count("*") + 1) / BLOCK_OF).cast("int").alias("blocks"), F.count("*").alias("k"))
+        blocks = staged(blocks.where("k > 1").drop("k"), "join-blocks")  # both classes of a pair alone have met
+        members = staged(members.join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "join-members")
+        named = self.postings.join(members, "class").select("token", "component", "b", "blocks", F.struct("n", "class", "rest", "at").alias("x"))
+        named = staged(named, "join-inside")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        one = named.select("token", "component", F.col("b").alias("bu"), other.alias("bv"), "x")
+        two = named.select("token", "component", F.col("b").alias("bv"), other.alias("bu"), F.col("x").alias("y"))
+        n, m = F.col("x.n"), F.col("y.n")
+        fits = F.least(n - F.col("x.at"), m - F.col("y.at")) >= self._overlap(n, m)
+        pairs = one.join(two, ["token", *CELL]).where((F.col("x.class") < F.col("y.class")) & self._possible("x", "y") & fits)
+        pairs = pairs.select(*CELL, F.col("x.class").alias("u"), F.col("y.class").alias("v")).distinct()
+        return staged(pairs.join(done, ["u", "v"], "left_anti").select(*CELL, "u", "v"), "join-pairs")
+
+    @cached_property
+    def _all_links(self) -> DataFrame:
+        near = staged(self._near(self.inside()).select(*CELL, "u", "v"), "join-near")
+        needed = near.select(*CELL, F.col("u").alias("class")).unionAll(near.select(*CELL, F.col("v").alias("class"))).distinct()
+        sets = needed.join(self.sets.select("class", "elements"), "class")
+        rows = sets.select(*CELL, F.col("class").alias("u"), F.lit(None).cast("long").alias("v"), "elements")
+        rows = rows.unionAll(near.select("*", F.lit(None).cast("binary").alias("elements")))
+        rows = rows.repartition(*CELL).sortWithinPartitions(*CELL, F.col("v").isNotNull())
+        more = rows.mapInArrow(_verified_in_cells(self.percent), "u long, v long")
+        return staged(self._connected[2].unionAll(more), "join-all-links")
+
+    def links(self) -> DataFrame:
+        """All pairs (u, v), u < v, of classes that reach the threshold, each once; `documents` says which documents have a class."""
+        return self._all_links
+
+    def n_links(self) -> DataFrame:
+        """(class, n_links) where there are any: how many other rows a document of the class is linked with, those of its own class included."""
+        copies = staged(self.documents.where("n > 0").groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1"), "join-copies")
+        links = self.links()
+        ends = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = ends.join(copies.withColumnRenamed("class", "v"), "v", "left").select(F.col("u").alias("class"), F.coalesce("rows", F.lit(1)).alias("k"))
+        return staged(ends.unionAll(copies.select("class", (F.col("rows") - 1).alias("k"))).groupBy("class").agg(F.sum("k").alias("n_links")), "join-counts")
+
+    def result(self, with_links: bool = True) -> DataFrame:
+        """One row a document: doc_id, row (text hash), n_shingles, component_id, first: whether it is its component's first by id and text hash (equal rows all are), and n_links, unless not wanted: with how many other rows it is linked."""
+        classes = self.components().withColumnRenamed("node", "class")
+        if with_links:
+            classes = staged(classes.join(self.n_links(), "class", "full"), "join-classes")
+        docs = self.documents.join(classes, "class", "left")
         docs = staged(docs.withColumn("component", F.coalesce("component", "class")).drop("class"), "join-components")
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         least = staged(docs.where("n > 0").groupBy("component").agg(F.min(place).alias("least"), F.count("*").alias("rows")).where("rows > 1"), "join-least")
         out = docs.join(least.drop("rows"), "component", "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")))
         component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
         first = F.coalesce(F.col("least") == place, F.lit(True))
-        return out.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), first.alias("first"))
+        counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if with_links else []
+        return out.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), first.alias("first"), *counted)
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, then text hash. Of equal rows one stays; rows without shingles all do."""
-    found = Join(docs, size, percent).result()
+    found = Join(docs, size, percent).result(with_links=False)
     repeated = staged(found.where("first and n_shingles > 0").groupBy("doc_id", "row").agg(F.count("*").alias("k")).where("k > 1"), "join-repeated")
     gone = staged(found.where(~F.col("first")).select("doc_id", "row").unionAll(repeated.select("doc_id", "row")), "join-gone").distinct()
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
