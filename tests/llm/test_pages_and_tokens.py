@@ -24,6 +24,25 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+WHOLE = {
+    "<article><p>A</p><datalist><option value=x><option value=y></datalist><p>B</p></article>": "A\n\nB",
+    "<p>A <svg class=i/> b</p><p>C</p>": "A b\n\nC",
+    "<article><p>A <svg><path d=1/><g><rect/></g></svg> b</p><p><select><option>x<option>y</select>C</p></article>": "A b\n\nC",
+    "<article><p>A <span><canvas>x</span> b</p><div><button>go</div><p>C</p></article>": "A b\n\nC",
+    "<article><p>A</p><div><script>var x</div><p>B</p></article>": "A\n\nB",
+    "<article><p class='overflow-hidden'>A</p><p style='overflow: hidden'>B</p><p><a href='/hidden-gems'>C</a> d</p></article>": "A\n\nB\n\nC d",
+    "<article><p style='color: red; DISPLAY:none'>A</p><p aria-hidden=true>B</p><p HIDDEN>C</p><p hidden=''>D</p><p aria-hidden='false'>E</p></article>": "E",
+    "<article><h2 id='related-work'>Related work</h2><p aria-label='Search for meaning'>A</p><section class='has-sidebar'><p>B</p></section></article>": "Related work\n\nA\n\nB",
+    "<b><article><p>A</b> b</p><p>C</p></article><p>not of the article</p>": "A b\n\nC",
+    "<p>Short.</p>": "Short.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_real_text_stays(page):
+    assert main_text(page) == WHOLE[page]
+
+
 def test_long_and_broken_pages():
     body = "".join(f"<p>paragraph {i}" for i in range(5000))
     assert main_text(f"<article>{body}").count("\n\n") == 4999

@@ -25,7 +25,7 @@ from .common import read, slices
 WINDOW, SURGE, LINK_SHARE = 3, 20, 0.6
 
 # Element names and the words of class, id and role that mark what is not the text.
-RAW = "script|style|noscript|template|textarea|select|option|svg|math|iframe|object|canvas|audio|video|title|button"
+RAW = frozenset("script style noscript template textarea select datalist optgroup option svg math iframe object canvas audio video title button".split())
 APART = frozenset("nav header footer aside form menu dialog head fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -41,10 +41,12 @@ APART_WORDS = frozenset(
 )
 CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 
-RAW_PART = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>", re.S | re.I)
+# Comments, declarations, and elements that the parser of HTML reads as text up to their own end tag; where that is missing they are elements like others.
+RAW_PART = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|textarea|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</\1\s*>|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none")
+STATES = frozenset("has no with without is".split())
 SPACES = re.compile(r"\s+")
 
 
@@ -52,25 +54,32 @@ def marks(attributes: str) -> tuple[set[str], bool, bool]:
     """The words by which an element's attributes set it apart from the text, whether it is hidden, and whether they mark the article."""
     if not attributes or attributes.isspace():
         return set(), False, False
-    values = " ".join(next(v for v in m if v) if any(m) else "" for m in NAMED.findall(attributes)).lower()
-    names = set(values.split())
-    words = set(re.split(r"[\s_]+", values)) | set(re.split(r"[\s_-]+", values))
-    return words & APART_WORDS, bool(HIDDEN.search(attributes)), bool(names & MAIN_NAMES)
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), next((v for v in values if v), "").lower())
+    names = set(" ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).split())
+    words = set(names)  # ids, roles and the like count whole: a heading's id has words of its text
+    for token in found.get("class", "").split():
+        parts = re.split(r"[_-]+", token)
+        if parts[0] not in STATES:
+            words.update(parts)
+    hidden = found.get("hidden", "false") != "false" or found.get("aria-hidden") == "true" or bool(UNSEEN.search(found.get("style", "")))
+    return words & APART_WORDS, hidden, bool(names & MAIN_NAMES)
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length that counts, inside an article) for every block of the page, in order. What is set apart leaves lines without text."""
     page = RAW_PART.sub(" ", page)
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # name, apart, main: as they were outside
+    stack: list[tuple[str, int, int, int, bool]] = []  # name, apart, main, raw: as they were outside; whether it is set apart
     buffer: list[str] = []
-    apart = main = linked = links = 0
+    apart = main = raw = linked = links = 0
     dropped = False
 
     def add(piece: str) -> None:
         nonlocal linked, dropped
         if apart:
-            dropped = dropped or not piece.isspace()
+            dropped = dropped or not (raw or piece.isspace())
             return
         buffer.append(piece)
         if links:
@@ -88,13 +97,18 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         linked, dropped = 0, False
 
     def close(name: str) -> None:
-        nonlocal apart, main
+        nonlocal apart, main, raw
+        crossed = False
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
-                _, apart, main = stack[k]
+                if crossed and name not in BLOCKS and not stack[k][4]:
+                    del stack[k]  # misnested inline element: the blocks inside it stay open
+                    return
+                _, apart, main, raw, _ = stack[k]
                 del stack[k:]
                 return
-            if name == "p" and stack[k][0] in BLOCKS:
+            crossed = crossed or stack[k][0] in BLOCKS
+            if name == "p" and crossed:
                 return
 
     at = 0
@@ -115,16 +129,25 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in CLOSES_P:
             close("p")
+        if name in RAW:
+            add(" ")
+            if name == "option" and stack and stack[-1][0] == name:
+                close(name)
+            if not m[3].rstrip().endswith("/"):
+                stack.append((name, apart, main, raw, True))
+                apart, raw = apart + 1, raw + 1
+            continue
         words, hidden, is_main = marks(m[3])
         if main:
             words = words - {"header"}  # the article's own heading
         off = bool(words or hidden) or name in APART and not (name == "header" and main)
-        if name in BLOCKS or off or apart:
-            stack.append((name, apart, main))
-            if name in ("article", "main") or is_main and name not in APART:
-                main += 1
-            elif off and name not in ("body", "html"):
-                apart += 1
+        if raw and m[3].rstrip().endswith("/"):
+            continue  # svg and math close their parts so
+        stack.append((name, apart, main, raw, off))
+        if name in ("article", "main") or is_main and name not in APART:
+            main += 1
+        elif off and name not in ("body", "html"):
+            apart += 1
     add(page[at:])
     flush()
     return out
@@ -134,7 +157,8 @@ def main_text(page: str) -> str:
     found = lines(page)
     inside = any(is_main and n for _, n, is_main in found)
     lengths = [n if is_main or not inside else 0 for _, n, is_main in found]
-    surge = 1 if inside else SURGE
+    sums = [sum(lengths[i : i + WINDOW]) for i, n in enumerate(lengths) if n]
+    surge = 1 if inside or max(sums, default=0) < SURGE else SURGE
     kept: list[str] = []
     total, open_text = sum(lengths[: WINDOW - 1]), False
     for i, n in enumerate(lengths):
