@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,7 +17,7 @@ def test_slices_keep_rows_whole_and_in_order():
 
 def test_word_hashes_survive_their_limit(monkeypatch):
     monkeypatch.setattr(common.WordHashes, "LIMIT", 3)
-    words = [str(i).encode() for i in range(20)]
+    words = pa.array([str(i) for i in range(20)])
     hashes = common.WordHashes()
     assert (hashes.of(words) == hashes.of(words)).all() and len(set(hashes.of(words).tolist())) == 20
 
@@ -30,12 +32,24 @@ def test_grams_depend_on_order(n):
     assert again[0] == g[5] and (n == 1 or again[n] != g[5])
 
 
-def test_staged_tables_lie_in_the_shared_folder_and_can_be_cleared(spark):
+def test_staged_tables_lie_in_the_shared_folder_and_can_be_dropped(spark):
     df = common.staged(spark.range(5).select("id", F.lit(None).cast("string").alias("x")), "test")
     assert df.count() == 5 and df.dtypes == [("id", "bigint"), ("x", "string")]
-    common.clear_staged(spark)
+    common.drop(df)
     with pytest.raises(Exception):
-        common.staged(spark.range(1), "x").sparkSession.read.parquet(df.inputFiles()[0]).count()
+        spark.read.parquet(df.staged_at).count()
+
+
+def test_split_is_the_word_definition():
+    texts = ["a" + chr(c) + "b" for c in range(0x300)] + ["", None, " ", " a\n\nÉ b ", "\x1cq\x85", "a\xa0b", "x"]
+    words, starts = common.split(pa.array(texts))
+    got = [[w.encode() for w in words.to_pylist()[a:b]] for a, b in zip(starts, starts[1:])]
+    assert got == [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+
+
+def test_free_names(spark):
+    df = spark.range(1).selectExpr("id as Row", "id as _row")
+    assert common.free_name(df, "row") == "__row" and common.free_name(df, "x") == "x"
 
 
 def test_hash60_is_the_md5_prefix(spark):

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from verdigris.llm import jaccard_join
 from verdigris.llm.components import components
 from verdigris.llm.jaccard_join import Join, one_of_each, prefix_length
 
@@ -77,14 +76,13 @@ def linked(docs):
 
 
 @pytest.mark.parametrize("block", [128, 3])
-def test_links_against_brute_force(spark, docs_of, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK_OF", block)
+def test_links_against_brute_force(spark, docs_of, block):
     docs = cases(3)
     rng, base = random.Random(4), [f"x{k}" for k in range(100)]
     # near copies that differ at one place each: all of them are linked with one another
     docs += [(1000 + k, " ".join([*base[:p], f"y{k}", *base[p + 1 :]])) for k in range(30) for p in [rng.randrange(100)]]
     docs += [(1100 + k, docs[-1][1]) for k in range(3)]
-    join = Join(docs_of(docs).repartition(5))
+    join = Join(docs_of(docs).repartition(5), block_of=block)
     got = join.result().collect()
     assert sorted((r["doc_id"], r["n_links"]) for r in got) == linked(docs)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(docs)

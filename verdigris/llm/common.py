@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -33,19 +35,33 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root}/verdigris-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Deletes what this application has staged. Results are lazy, so call it only when they have been written or collected."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/verdigris-{spark.sparkContext.applicationId}")
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and the rows are computed once. What the writing has shuffled is freed at its end."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables. For tables that no plan still to be run reads: results are lazy."""
+    for table in tables:
+        spark, path = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and the rows are computed once."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as make it none of df's columns (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def lower_ascii(c: Column) -> Column:
@@ -85,6 +101,19 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and where each text's begin (one entry more than texts). A null has none."""
+    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(trimmed)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = text_lengths(trimmed) == 0  # such a text is split into one empty word
+    words = lists.flatten()
+    if blank.any():
+        counts[blank] = 0
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, np.concatenate([[0], np.cumsum(counts)])
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last; the cache is emptied when it is full."""
 
@@ -96,8 +125,11 @@ class WordHashes(dict):
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, words: pa.Array) -> np.ndarray:
+        """The hashes of an array of words; each different word is looked up once."""
+        coded = words.dictionary_encode()
+        own = coded.dictionary.cast(pa.binary()).to_pylist()
+        return np.fromiter(map(self.__getitem__, own), np.uint64, len(own))[coded.indices.to_numpy(zero_copy_only=False)] if own else np.empty(0, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, staged
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """From edges (u, v): one row (node, component) for every node that is not its component's smallest."""
     state, before = staged(edges.select("u", "v").where("u <> v").distinct(), label), None
     while True:
-        state = staged(_small(_large(state)), label)
+        last, state = state, staged(_small(_large(state)), label)
+        drop(last)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.staged_at = state.staged_at
+            return out
         before = now
