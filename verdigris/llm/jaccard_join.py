@@ -46,6 +46,8 @@ from .components import components
 
 SIZE, PERCENT = 4, 85
 SKETCH, BLOCK, RANGES, BLOCK_OF = 1 << 20, 4096, 64, 256
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle, and which bits of a row's hash number its places there.
+FILTER_BITS, FILTER_SHIFTS = 1 << 25, (0, 20, 39)
 
 
 def shingle_sets(texts: pa.Array, hashes: WordHashes, size: int) -> list[np.ndarray]:
@@ -160,13 +162,51 @@ def _prefixes(size: int, percent: int, levels):
     return run
 
 
-def _whole(size: int):
+def _places(rows: np.ndarray) -> list[np.ndarray]:
+    return [((rows >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for shift in FILTER_SHIFTS]
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's blocks that hold a row of this task."""
+    marks = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for at in _places(np.asarray(batch.column("row")).view(np.uint64)):
+            marks[at] = True
+    blocks = np.packbits(marks, bitorder="little").reshape(-1, BLOCK)
+    some = np.flatnonzero(blocks.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "marks"])
+
+
+def _together(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint8)
+    for marks in table.column("marks").to_pylist():
+        total |= np.frombuffer(marks, np.uint8)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([total.tobytes()], pa.binary())})
+
+
+def row_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the rows' hashes: four megabytes, whatever their number. The more there are, the less it keeps out."""
+    blocks = wanted.select("row").mapInArrow(_marked, "block int, marks binary").groupBy("block").applyInArrow(_together, "block int, marks binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, BLOCK)
+    for r in blocks.collect():  # FILTER_BITS in all
+        out[r["block"]] = np.frombuffer(r["marks"], np.uint8)
+    return out.ravel()
+
+
+def _whole(size: int, marks):
+    """(class, row, elements) of the texts that the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), hashes, size)
-            elements = binaries(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), elements], ["class", "elements"])
+        hashes, bits = WordHashes(), marks.value
+        for batch in batches:
+            rows = np.asarray(batch.column("row")).view(np.uint64)
+            wanted = np.ones(len(rows), bool)
+            for at in _places(rows):
+                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            for part in slices([batch.filter(pa.array(wanted))], "text"):
+                sets = shingle_sets(part.column("text"), hashes, size)
+                elements = binaries(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(classes_of(sets)), part.column("row"), elements], ["class", "row", "elements"])
 
     return run
 
@@ -307,16 +347,19 @@ class Join:
         return staged(both.mapInArrow(_far(self.percent), "u long, v long"), label)
 
     def _need(self, wanted: DataFrame) -> None:
-        """Stages the sets of the classes `wanted` that are not there yet. The wanted rows are staged, so that Spark sees their size: the texts are shuffled only where those are too many to broadcast."""
+        """Stages the sets of the classes `wanted` that are not there yet, from one text each. No text is shuffled, and of the sets only those that the filter lets pass."""
         wanted = wanted.select("class").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("class"), "class", "left_anti")
         wanted = staged(wanted.join(self.classes.select("class", "row"), "class").select("class", "row"), "join-wanted")
-        sets = self.rows.select("row", "text").join(wanted, "row").select("class", "text").mapInArrow(_whole(self.size), "class long, elements binary")
-        sets = staged(sets.dropDuplicates(["class"]) if self.repeats else sets, "join-sets")
+        if self.sets is None or not wanted.isEmpty():
+            marks = wanted.sparkSession.sparkContext.broadcast(row_filter(wanted))
+            sets = self.rows.select("row", "text").mapInArrow(_whole(self.size, marks), "class long, row long, elements binary")
+            sets = sets.join(wanted, ["class", "row"]).select("class", "elements")
+            sets = staged(sets.dropDuplicates(["class"]) if self.repeats else sets, "join-sets")
+            self._parts.append(sets)
+            self.sets = sets if self.sets is None else self.sets.unionAll(sets)
         drop(wanted)
-        self._parts.append(sets)
-        self.sets = sets if self.sets is None else self.sets.unionAll(sets)
 
     def _links(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (u, v) that reach the threshold: suffix filter, then the sets themselves."""
@@ -431,6 +474,7 @@ class Join:
         docs = staged(docs.withColumn("component", F.coalesce("component", "class")).drop("class"), "join-components")
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         least = staged(docs.where("n > 0").groupBy("component").agg(F.min(place).alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "join-least")
+        self.results = [docs, least]
         out = docs.join(least, "component", "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")))
         component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
         first = F.coalesce(F.col("least") == place, F.lit(True))
@@ -442,9 +486,10 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, *, id
     """docs with one row of each component: that of the smallest id, then hash of id and text. Of equal rows (id and text) one stays; rows without shingles all do."""
     join = Join(docs, size, percent, id_col=id_col, text_col=text_col)
     found = join.result(with_links=False)
-    join.drop_all()
     repeated = staged(found.where("first and n_shingles > 0").groupBy("doc_id", "row").agg(F.count("*").alias("k")).where("k > 1"), "join-repeated")
     gone = staged(found.where(~F.col("first")).select("doc_id", "row").unionAll(repeated.select("doc_id", "row")).distinct(), "join-gone")
+    join.drop_all()
+    drop(*join.results)
     row = free_name(docs, "row")
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
 
