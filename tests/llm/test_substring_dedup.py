@@ -35,10 +35,10 @@ def cases(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,shard_words", [(1, 10_000, 600_000), (2, 3, 600_000), (3, 10_000, 500)])
-def test_against_brute_force(spark, docs_of, seed, hot, shard_words):
+@pytest.mark.parametrize("seed,most,shard_words", [(1, 1_000, 200_000), (2, 2, 200_000), (3, 1_000, 500)])
+def test_against_brute_force(spark, docs_of, seed, most, shard_words):
     docs = cases(seed)
-    got = dedup(docs_of(docs).repartition(4), hot=hot, shard_words=shard_words).collect()
+    got = dedup(docs_of(docs).repartition(4), most=most, shard_words=shard_words).collect()
     rows = sorted((1 << 62 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in got)
     assert rows == brute(docs)
 
@@ -53,15 +53,40 @@ def test_empty_table(spark, docs_of):
     assert dedup(docs_of([])).count() == 0
 
 
-def test_backward_search_counts():
+def test_hot_minimizers_are_cut_as_often_as_it_takes(spark, docs_of):
+    rng = random.Random(8)
+    middle = [f"m{i}" for i in range(8)]
+    near = lambda k: [f"n{rng.randrange(2)}" for _ in range(k)]
+    docs = [(i, " ".join([*near(rng.randrange(16)), *middle, *near(rng.randrange(16))])) for i in range(150)]
+    got = dedup(docs_of(docs).repartition(3), most=1, shard_words=300).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute(docs)
+
+
+def test_many_equal_rows(spark, docs_of):
+    text = " ".join(f"w{i % 150}" for i in range(400))
+    docs = [(7, text)] * 3000 + [(9, text), (2, "x " + text)]
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in dedup(docs_of(docs).repartition(5)).collect()}
+    assert got == {(2, 401, 250), (7, 400, 400), (9, 400, 400)}
+
+
+def test_clashing_names(spark, docs_of):
+    df = docs_of([(1, "a b")]).selectExpr("*", *(f"0 as {n}" for n in ("key", "late", "first", "windows", "runs", "kept", "id", "minimizer")))
+    assert [tuple(r) for r in dedup(df).collect()] == [(1, 2, 0, b"a b")]
+
+
+@pytest.mark.parametrize("width", [5, 20])
+def test_matching_statistics(width):
     rng = np.random.default_rng(4)
-    text = np.append(rng.integers(1, 6, 400), 0).astype(np.int32)
-    index = FMIndex(text)
-    starts = np.arange(380)
-    number, low, high = index.repeated(text, starts, 5)
-    grams = [tuple(text[i : i + 5]) for i in range(396)]
-    counts = {g: grams.count(g) for g in grams}
-    found = dict(zip(number.tolist(), (high - low).tolist()))
-    assert found == {i: counts[grams[i]] for i in starts.tolist() if counts[grams[i]] > 1}
-    for n, a, b in zip(number[:50], low, high):
-        assert all(tuple(text[s : s + 5]) == grams[n] for s in index.suffixes[a:b])
+    text = np.append(rng.integers(1, 6, 400), 0)
+    text[100:140], place = text[300:340], rng.permutation(401)
+    index = FMIndex(text, place, width)
+    stream = np.concatenate([rng.integers(0, 8, 60), text[90:150]])
+    ends = np.arange(len(stream) + 1)
+    for times in (1, 2):
+        length, begin = index.matching_statistics(stream, ends, times)
+        for e in ends.tolist():
+            at = lambda k: [s for s in range(401 - k) if (text[s : s + k] == stream[e - k : e]).all() and (text[s : s + k] > 0).all()]  # noqa: E731, B023
+            want = max(k for k in range(min(e, width) + 1) if k == 0 or len(at(k)) >= times)
+            assert length[e] == want
+            if want == width and times == 2:
+                assert index.least_place(begin[e : e + 1])[0] == min(place[s] for s in at(width))

@@ -3,52 +3,56 @@
 A word goes if a window of WINDOW words covers it whose words also start earlier (in a smaller
 doc_id, or earlier in the same document). Two equal windows have the same minimizer, the smallest
 hash among their 8-word runs, at the same place in the window. So consecutive windows with one
-minimizer form a segment, and only segments whose minimizer occurs twice or more can hold a repeated
+minimizer form a piece, and only pieces whose minimizer occurs twice or more can hold a repeated
 window:
 
 1. every document's minimizers are counted over the corpus; only those seen twice go on, and only
-   documents that hold one are read again for the words of their segments;
-2. equal segments are one: all but the earliest lose all their windows;
-3. where one minimizer still has several different segments, they go to the shard of that minimizer.
-   Each shard builds a compressed FM-index of its segments and streams every window through it by
-   backward search; the windows above the threshold length that occur again, earlier, are reported;
-4. a minimizer with more different segments than a shard can take is settled window by window, by
-   the earliest start of each window's hash: the exact way for what an index cannot hold.
-
-Minimizers and windows are compared by 64-bit hashes in steps 1, 2 and 4 (128 bits in 2 and 4), and
-by the words themselves in step 3.
+   documents that hold one are read again for the words of their pieces;
+2. equal pieces are one, which knows the earliest place where it stands: at all other places its
+   windows go;
+3. where one minimizer still has several different pieces, they go to the shard of that minimizer. A
+   shard builds a compressed FM-index of its pieces and streams them through it: backward search over the
+   wavelet matrix gives the matching statistics, and the intervals that reach the window's length are
+   reported with the earliest place of their block;
+4. no minimizer may fill a shard: one with over `most` different pieces has them cut in two, into the
+   windows with the minimizer in their first and in their second half. All windows of a part have more
+   words in common than the minimizer, so these take its place as the key, and steps 2 and 3 follow for the
+   parts. After four such cuts a part is a single window and its key the whole window, so equal ones are
+   one. The same steps hold at every size; a cut only deals the windows of a hot minimizer finer.
+
+Words, minimizers and keys are compared by 64-bit hashes, whole pieces by 128 bits.
 
 Defined results: a null text has no words; a text shorter than the window loses none; rows that are
 equal in id and text start at the same place, so neither is earlier and both keep what other rows
 leave; rows with one id and different texts are one document with two texts, the earlier start wins;
-a null id comes after all others; no rows give no rows.
+a null id comes after all others; no rows give no rows. Only id and text are read, whatever other
+columns there are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, mixed, read, slices, staged, utf8
+from .common import WordHashes, drop, grams, mixed, read, slices, split, staged
 from .fm_index import FMIndex
 
 WINDOW, RUN = 20, 8
-SHARD_WORDS, HOT_SEGMENTS = 600_000, 10_000
-LAST_ID = (1 << 63) - 1
+SHARD_WORDS, MOST_PIECES = 200_000, 1_000
 
 
-def segments(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From word hashes of documents one after another: minimizer, document, first window and number of windows of every segment."""
+def pieces(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, ...]:
+    """From word hashes of documents one after another, for every piece: minimizer, document, first window, number of windows, and how many words of the first window stand before the minimizer."""
     none = np.empty(0, np.int64)
     count = len(words) - window + 1
     if count <= 0:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     g = grams(words, run)
     best, size, want = np.arange(len(g)), 1, window - run + 1
     while size < want:  # leftmost minimum of ever longer stretches
@@ -59,50 +63,80 @@ def segments(words: np.ndarray, starts: np.ndarray, window: int = WINDOW, run: i
     document = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:count]
     at = np.flatnonzero(np.arange(count) + window <= starts[1:][document])
     if not len(at):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     best, document = best[:count][at], document[at]
     new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (document[1:] != document[:-1])]))
     sizes = np.diff(np.concatenate([new, [len(at)]]))
-    return g[best[new]], document[new], at[new], sizes
-
-
-def _split(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    words = [t.split() for t in utf8(batch.column("text"))]
-    starts = np.cumsum([0, *map(len, words)])
-    return words, starts, np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(starts[-1]))
+    return g[best[new]], document[new], at[new], sizes, best[new] - at[new]
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches, "text"):
-        _, starts, h = _split(batch, hashes)
-        m, document, first, _ = segments(h, starts)
+        words, starts = split(batch.column("text"))
+        m, document, first, _, _ = pieces(hashes.of(words), starts)
         rows = np.asarray(batch.column("row"))[document]
         yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(rows), pa.array((first - starts[document]).astype(np.int32))], ["minimizer", "row", "first"])
 
 
-SEGMENT = "minimizer long, h1 long, h2 long, row long, doc_id long, first int, windows int, words binary"
+PIECE = "key long, h1 long, h2 long, row long, late boolean, doc_id long, first int, windows int, lead int, words binary"
+PLACE = ["late", "doc_id", "first"]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of each document that start where one of `firsts` says."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document that start where one of `firsts` says."""
     hashes = WordHashes()
     for batch in slices(batches, "text"):
-        words, starts, h = _split(batch, hashes)
-        m, document, first, sizes = segments(h, starts)
-        firsts = batch.column("firsts").to_pylist()
+        words, starts = split(batch.column("text"))
+        h = hashes.of(words)
+        m, document, first, sizes, lead = pieces(h, starts)
+        firsts = batch.column("firsts")
         marks = np.zeros(int(starts[-1]) + 1, bool)
-        for d, own in enumerate(firsts):
-            own = np.array(own, np.int64) + starts[d]
-            marks[own[own < starts[d + 1]]] = True
+        own = np.asarray(firsts.flatten()).astype(np.int64) + np.repeat(starts[:-1], np.asarray(pc.list_value_length(firsts)))
+        marks[own] = True
         keep = np.flatnonzero(marks[first])
-        m, document, first, sizes = m[keep], document[keep], first[keep], sizes[keep]
-        local, length = first - starts[document], sizes + WINDOW - 1
-        h1, h2 = _hashed_runs(h, first, length)
-        texts = [b" ".join(words[d][a : a + n]) for d, a, n in zip(document.tolist(), local.tolist(), length.tolist())]
-        row, doc = np.asarray(batch.column("row"))[document], np.asarray(batch.column("doc_id"))[document]
-        columns = [pa.array(m.view(np.int64)), pa.array(h1), pa.array(h2), pa.array(row), pa.array(doc), pa.array(local.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["minimizer", "h1", "h2", "row", "doc_id", "first", "windows", "words"])
+        m, document, first, sizes, lead = m[keep], document[keep], first[keep], sizes[keep], lead[keep]
+        of = [np.asarray(batch.column(c))[document] for c in ("row", "late", "doc_id")]
+        yield _piece_rows(m.view(np.int64), h, first, sizes, lead, [*of, (first - starts[document]).astype(np.int32)])
+
+
+def _piece_rows(key: np.ndarray, h: np.ndarray, begin: np.ndarray, sizes: np.ndarray, lead: np.ndarray, places: list[np.ndarray]) -> pa.RecordBatch:
+    """Pieces of `sizes` windows that begin at `begin` in the word hashes h; places: row, late, doc_id and first."""
+    length = sizes + WINDOW - 1
+    h1, h2 = _hashed_runs(h, begin, length)
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    offsets = np.concatenate([[0], np.cumsum(length * 8)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(h[np.repeat(begin, length) + inside])])
+    columns = [key, h1, h2, *places, sizes.astype(np.int32), lead.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), words], [x.split()[0] for x in PIECE.split(", ")])
+
+
+def _cut(level: int):
+    """Each piece as the parts whose windows have the minimizer in the same of 2 ** level stretches of the window, keyed by the words that all windows of the part must have in common."""
+    last = WINDOW - RUN
+    stretch = np.arange(last + 1) * 2**level // (last + 1)  # of a window with so many words before the minimizer
+    least = np.array([np.flatnonzero(stretch == s)[0] for s in stretch])
+    most = np.array([np.flatnonzero(stretch == s)[-1] for s in stretch])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            sizes, lead, first = (np.asarray(batch.column(c)).astype(np.int64) for c in ("windows", "lead", "first"))
+            h = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64)
+            begin = np.cumsum(sizes + WINDOW - 1) - (sizes + WINDOW - 1)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            before = lead[owner] - inside
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(stretch[before]) != 0)]))
+            count = np.diff(np.concatenate([new, [len(owner)]]))
+            owner, inside, before = owner[new], inside[new], before[new]
+            at = begin[owner] + inside
+            low, high = at + before - least[before], at + before + RUN + last - most[before]
+            key, _ = _hashed_runs(h, low, high - low)
+            key = (mixed(key.view(np.uint64) + stretch[before].astype(np.uint64))).view(np.int64)
+            of = [np.asarray(batch.column(c))[owner] for c in ("row", "late", "doc_id")]
+            yield _piece_rows(key, h, at, count, before, [*of, (first[owner] + inside).astype(np.int32)])
+
+    return run
 
 
 def _hashed_runs(h: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,103 +157,96 @@ REMOVED = "row long, first int, windows int"
 
 
 def _indexed(table: pa.Table) -> pa.Table:
-    """One shard: builds the FM-index of its segments, streams their windows through it and returns the runs of windows that occur earlier."""
-    numbers: dict[bytes, int] = {}
-    words = [[numbers.setdefault(w, len(numbers) + 1) for w in x.split(b" ")] for x in table.column("words").to_pylist()]
-    length = np.array([len(x) for x in words])
-    begin = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
-    text = np.zeros(int((length + 1).sum()), np.int32)
+    """One shard: builds the FM-index of its pieces, streams them through it and returns the runs of windows that stand earlier."""
+    table = table.combine_chunks()
+    late, doc, first, sizes, row = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("late", "doc_id", "first", "windows", "row"))
+    length = sizes + WINDOW - 1
+    begin = np.cumsum(length + 1) - (length + 1)
+    text = np.zeros(int((length + 1).sum()), np.int64)
     where = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
-    text[where] = np.fromiter(chain.from_iterable(words), np.int32, len(where))
-    doc, first, sizes = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc_id", "first", "windows"))
+    text[where] = np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64), return_inverse=True)[1] + 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = begin[owner] + inside
-    index = FMIndex(text)
-    number, low, high = index.repeated(text, starts, WINDOW)
-    # the place of every window start in the order of documents; equal places (equal rows) stay equal
-    key = np.stack([doc[owner], first[owner] + inside])
-    order = np.lexsort(key[::-1])
-    new = np.concatenate([[False], (np.diff(key[:, order], axis=1) != 0).any(0)]) if len(order) else np.empty(0, bool)
+    # the number of every window's start in the order of places; equal places (equal ids) stay equal
+    keys = np.stack([late[owner], doc[owner], first[owner] + inside])
+    order = np.lexsort(keys[::-1])
     place = np.full(len(text), np.iinfo(np.int64).max)
-    place[starts[order]] = np.cumsum(new)
-    in_order = np.append(place[index.suffixes], np.iinfo(np.int64).max)
-    blocks, which = np.unique(low, return_inverse=True)
-    ends = np.zeros(len(blocks), np.int64)
-    ends[which] = high
-    earliest = np.minimum.reduceat(in_order, np.stack([blocks, ends], 1).ravel())[::2] if len(blocks) else np.empty(0, np.int64)
-    gone = np.sort(number[earliest[which] < place[starts[number]]]) if len(number) else number
-    run = np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(owner[gone]) != 0)]) if len(gone) else np.empty(0, bool)
-    head = np.flatnonzero(run)
+    place[starts[order]] = np.cumsum(np.concatenate([[False], (np.diff(keys[:, order], axis=1) != 0).any(0)])[: len(order)])
+    index = FMIndex(text, place, WINDOW)
+    matched, interval = index.matching_statistics(text, starts + WINDOW, times=2)
+    number = np.flatnonzero(matched == WINDOW)
+    gone = number[index.least_place(interval[number]) < place[starts[number]]]
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(owner[gone]) != 0)])[: len(gone)])
     top, size = gone[head], np.diff(np.concatenate([head, [len(gone)]]))
-    rows = np.asarray(table.column("row").combine_chunks())[owner[top]]
-    return pa.table({"row": pa.array(rows, pa.int64()), "first": pa.array((first[owner[top]] + inside[top]).astype(np.int32)), "windows": pa.array(size.astype(np.int32))})
+    return pa.table({"row": pa.array(row[owner[top]], pa.int64()), "first": pa.array((first[owner[top]] + inside[top]).astype(np.int32)), "windows": pa.array(size.astype(np.int32))})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the segments by two hashes, for minimizers too frequent for an index."""
-    hashes = WordHashes()
-    for batch in slices(batches, "words"):
-        words = [x.split(b" ") for x in batch.column("words").to_pylist()]
-        sizes = np.asarray(batch.column("windows")).astype(np.int64)
-        h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64)
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in words])])[:-1]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        h1, h2 = _hashed_runs(h, begin[owner] + inside, np.full(len(owner), WINDOW))
-        first = np.asarray(batch.column("first"))[owner] + inside
-        row, doc = np.asarray(batch.column("row"))[owner], np.asarray(batch.column("doc_id"))[owner]
-        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(row), pa.array(doc), pa.array(first.astype(np.int32))], ["h1", "h2", "row", "doc_id", "first"])
-
-
-def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS) -> DataFrame:
-    """From rows (row, doc_id, text): (row, first, windows), the runs of windows that start earlier elsewhere."""
-    found = rows.select("row", "text").mapInArrow(_minimizers, "minimizer long, row long, first int")
+def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, most: int = MOST_PIECES) -> list[DataFrame]:
+    """From rows (row, late, doc_id, text): staged tables (row, first, windows) of the runs of windows that start earlier elsewhere."""
+    found = staged(rows.select("row", "text").mapInArrow(_minimizers, "minimizer long, row long, first int"), "minimizers")
     # staged, so that the join shuffles both sides for itself and a hot minimizer's rows can be split
     twice = staged(found.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "minimizers-seen-twice")
-    firsts = found.join(twice, "minimizer").groupBy("row").agg(F.collect_list("first").alias("firsts"))  # of one document
-    some = staged(rows.join(firsts, "row").select("row", "doc_id", "text", "firsts").mapInArrow(_segments, SEGMENT), "segments")
-
-    earliest = F.min(F.struct("doc_id", "first")).alias("earliest")
-    distinct = some.groupBy("minimizer", "h1", "h2").agg(earliest)
-    marked = some.join(distinct.select("h1", "h2", "earliest"), ["h1", "h2"]).withColumn("copy", F.struct("doc_id", "first") != F.col("earliest"))
-    marked = staged(marked.drop("earliest").withColumn("words", F.when(~F.col("copy"), F.col("words"))), "marked-segments")
-    copies = marked.where("copy").select("row", "first", "windows")
-    single = marked.where("not copy")  # equal rows may share a place
-    several = single.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1")
-    index = staged(single.join(several, "minimizer"), "indexed-segments")
-    total = index.where(F.col("n") <= hot).agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    small = index.where(F.col("n") <= hot).withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)).cast("int"))
-    indexed = small.select("shard", "row", "doc_id", "first", "windows", "words").groupBy("shard").applyInArrow(_indexed, REMOVED)
-    windows = index.where(F.col("n") > hot).select("row", "doc_id", "first", "windows", "words").mapInArrow(_windows, "h1 long, h2 long, row long, doc_id long, first int")
-    least = windows.groupBy("h1", "h2").agg(earliest, F.count("*").alias("n")).where("n > 1")
-    later = windows.join(least, ["h1", "h2"]).where(F.struct("doc_id", "first") > F.col("earliest")).select("row", "first", F.lit(1).alias("windows"))
-    return copies.unionAll(indexed).unionAll(later)
+    firsts = staged(found.join(twice, "minimizer").groupBy("row").agg(F.collect_set("first").alias("firsts")), "piece-starts")  # of one document
+    drop(found, twice)
+    level, removed = 0, []
+    some = staged(rows.join(firsts, "row").select("row", "late", "doc_id", "text", "firsts").mapInArrow(_pieces, PIECE), "pieces")
+    drop(firsts)
+    while True:
+        place, name = F.struct(*PLACE), ["key", "h1", "h2"]
+        distinct = staged(some.groupBy(*name).agg(F.min(place).alias("earliest")), "distinct-pieces")
+        marked = some.join(distinct, name).withColumn("copy", place != F.col("earliest")).drop("earliest")
+        marked = staged(marked.withColumn("words", F.when(~F.col("copy"), F.col("words"))), "marked-pieces")
+        drop(some)
+        several = staged(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys-of-several")
+        drop(distinct)
+        # equal rows stand at one place: of their pieces one goes on
+        single = marked.where("not copy").join(several, "key").groupBy(*name, *PLACE).agg(*(F.first(c).alias(c) for c in ("row", "windows", "lead", "words", "n")))
+        single = staged(single, "single-pieces")
+        copies = staged(marked.where("copy").select("row", "first", "windows"), "removed-copies")
+        drop(marked, several)
+        small = single.where(F.col("n") <= most)
+        total = small.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
+        shards = max(1, -(-total // shard_words))
+        small = small.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        small = small.select("shard", "row", "late", "doc_id", "first", "windows", "words")
+        runs = staged(small.groupBy("shard").applyInArrow(_indexed, REMOVED), "removed-by-index")
+        removed += [copies, runs]
+        large = single.where(F.col("n") > most)
+        if large.isEmpty():
+            drop(single)
+            return removed
+        level += 1
+        some = staged(large.select("row", "late", "doc_id", "first", "windows", "lead", "words").mapInArrow(_cut(level), PIECE), "cut-pieces")
+        drop(single)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        counts, gone, kept = [], [], []
-        for text, runs in zip(utf8(batch.column("text")), batch.column("runs").to_pylist()):
-            words = text.split()
-            change = np.zeros(len(words) + 1, np.int32)
-            for run in runs or ():
-                change[run["first"]] += 1
-                change[min(len(words), run["first"] + run["windows"] + WINDOW - 1)] -= 1
-            off = np.cumsum(change[:-1]) > 0
-            counts.append(len(words))
-            gone.append(int(off.sum()))
-            kept.append(b" ".join(w for w, o in zip(words, off.tolist()) if not o) if gone[-1] else b" ".join(words))
-        own = [c for c in batch.schema.names if c not in ("text", "runs")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], [*own, "n_words", "n_removed", "kept"])
-
-
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS) -> DataFrame:
+        words, starts = split(batch.column("text"))
+        runs = batch.column("runs")
+        change = np.zeros(int(starts[-1]) + 1, np.int32)
+        own, flat = np.repeat(np.arange(len(runs)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)), runs.flatten()
+        low = starts[own] + np.asarray(flat.field("first"))
+        np.add.at(change, low, 1)
+        np.add.at(change, low + np.asarray(flat.field("windows")) + WINDOW - 1, -1)
+        on = np.cumsum(change[:-1]) == 0
+        upto = np.concatenate([[0], np.cumsum(on)])[starts]
+        left = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), words.filter(pa.array(on)))
+        counts = np.diff(starts)
+        names = [c for c in batch.schema.names if c not in ("text", "runs")]
+        columns = [pa.array(counts), pa.array(counts - np.diff(upto)), pc.binary_join(left, " ").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n_words", "n_removed", "kept"])
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, most: int = MOST_PIECES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by blanks, as UTF-8)."""
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = rows.select("row", F.coalesce("id", F.lit(LAST_ID)).alias("doc_id"), "text")
-    runs = removed_windows(known, shard_words, hot).groupBy("row").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))  # of one document
+    number = F.col(id_col).cast("long")
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), number.alias("id"), F.col(text_col).alias("text"))
+    known = rows.select("row", F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("doc_id"), "text")
+    removed = removed_windows(known, shard_words, most)
+    runs = staged(reduce(DataFrame.unionAll, removed).groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), "runs-to-remove")  # of one document
+    drop(*removed)
     joined = rows.join(runs, "row", "left").select(F.col("id").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
 
