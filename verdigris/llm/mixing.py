@@ -1,15 +1,18 @@
 """Mixing sources to target weights: Efraimidis-Spirakis sampling.
 
-Every document gets an exponential key -ln(u) / w, with u from a hash of its id and w its quality
-weight. A source whose target holds e complete epochs gives every document e times; what is left of
-the target goes to the documents with the smallest keys, up to the prefix sum of sizes that comes
-nearest to it. The prefix sum is taken in two steps, over key bins and inside a bin, so no source is
-sorted in one task: a bin is 1/512 of a power of two of the key and so holds under 1/1000 of its
-source, whatever the weights.
-
-Defined results: a null text has size 0; a null source is a source of its own, after all others;
-a source without words has target 0; repeated rows with one id have one key and are taken alike;
-no rows give no rows.
+Every document gets an exponential key -ln(u) / w, with u from a hash of its id and text and w its
+quality weight. A source whose target holds e complete epochs gives every document e times; what is left
+of the target goes to the documents with the smallest keys, up to the prefix sum of sizes that comes
+nearest to it. Equal rows have equal keys and are summed first, so that they count as one. The prefix sum
+is taken in two steps, over key bins and inside a bin, so no source is sorted in one task: a bin is 1/512
+of a power of two of the key and so holds under 1/1000 of its source, whatever the weights. The order is
+by key and then by hash of id and text, which leaves ties to equal rows only; one row a source says where
+its fraction ends, and whether a row is taken follows from that row alone, in mix() as in op9().
+
+Defined results: a null text has size 0; a null source is a source of its own, after all others; a
+source without words has target 0; a null id is an id like others; rows with one id and different texts
+have different keys; rows equal in id and text are taken alike, all or none; no rows give no rows.
+Columns of docs keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash60, read, staged
+from .common import WORD, drop, hash60, read, staged, whole
 
 BINS_PER_OCTAVE = 512
 
@@ -33,10 +36,14 @@ def plain_share(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, seed: int, weight: Column, *, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """docs with _source (sortable, null last), _size, _key."""
-    u = (hash60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")))) + 0.5) / float(1 << 60)
+    """(doc, _source, _size, _key, _row) for every row: doc has docs' columns, _source sorts (null last), _row is a hash of id and text."""
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    u = (hash60(F.concat(F.lit(f"{seed}:"), name)) + 0.5) / float(1 << 60)
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t"))
-    return docs.withColumns({"_source": source, "_size": word_count(F.col(text_col)), "_key": F.greatest(-F.ln(u) / weight, F.lit(1e-18))})
+    return docs.select(
+        whole(docs).alias("doc"), source.alias("_source"), word_count(F.col(text_col)).alias("_size"),
+        F.greatest(-F.ln(u) / weight, F.lit(1e-18)).alias("_key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"),
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -55,19 +62,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return total.select("_source", "_total", "_target", "_epochs", (F.col("_target") - F.col("_epochs") * F.col("_total")).alias("_rest"))
 
 
-def plan(keys: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """From rows (_id, _source, _size, _key): the rows with total, target and copies, and one row a source with the last key that its fraction takes."""
-    goal = targets(keys, weights, share, most)
-    keys = keys.withColumn("_bin", F.floor(F.log2("_key") * BINS_PER_OCTAVE))
+def plan(keys: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """From rows (_source, _size, _key, _row): one row a source with _total, _target, _epochs and _last, the last key and row that its fraction takes (null if none)."""
+    goal = staged(targets(keys, weights, share, most), "mix-targets")
+    keys = keys.groupBy("_source", "_key", "_row").agg(F.sum("_size").alias("_size")).withColumn("_bin", F.floor(F.log2("_key") * BINS_PER_OCTAVE))
     bins = keys.groupBy("_source", "_bin").agg(F.sum("_size").alias("_in_bin"))
     earlier = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("_source", "_bin", F.coalesce(F.sum("_in_bin").over(earlier), F.lit(0)).alias("_bins_before"))
-    inside = Window.partitionBy("_source", "_bin").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_source", "_bin").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = keys.withColumn("_inside", F.sum("_size").over(inside)).join(bins, ["_source", "_bin"]).join(goal, "_source")
     taken = (F.col("_rest") > 0) & (F.col("_bins_before") + F.col("_inside") - F.col("_size") / 2.0 <= F.col("_rest"))
-    rows = rows.withColumn("_copies", F.col("_epochs") + taken.cast("long"))
-    last = F.max(F.when(F.col("_copies") > F.col("_epochs"), F.struct("_key", "_id"))).alias("_last")
-    return rows, rows.groupBy("_source", "_epochs").agg(last)
+    last = rows.where(taken).groupBy("_source").agg(F.max(F.struct("_key", "_row")).alias("_last"))
+    out = staged(goal.join(last, "_source", "left"), "mix-last")
+    drop(goal)
+    return out
+
+
+def copies() -> Column:
+    """How often a row of keyed(), joined with its source's row of plan(), is taken."""
+    return F.col("_epochs") + F.coalesce(F.struct("_key", "_row") <= F.col("_last"), F.lit(False)).cast("long")
 
 
 def mix(
@@ -76,30 +89,26 @@ def mix(
 ) -> DataFrame:
     """The rows of docs as often as the mix takes them, with docs' own columns. Keys are sorted as a narrow table; the texts are then kept or repeated where they are read, against one row a source."""
     weight = plain_share(F.col(text_col)) if weight is None else weight
-    names = {"id_col": id_col, "source_col": source_col, "text_col": text_col}
-    full = keyed(docs, seed, weight, **names)
-    keys = staged(full.select(F.col(id_col).alias("_id"), "_source", "_size", "_key"), "mix-keys")
-    _, last = plan(keys, weights, share, most)
-    last = staged(last, "mix-last")
-    more = F.coalesce(F.struct(F.col("_key"), F.col(id_col).alias("_id")) <= F.col("_last"), F.lit(False))
-    copies = F.explode(F.array_repeat(F.lit(0), (F.col("_epochs") + more.cast("long")).cast("int")))
-    return full.join(last, "_source").select(*docs.columns, copies.alias("_copy")).select(*docs.columns)
+    full = keyed(docs, seed, weight, id_col=id_col, source_col=source_col, text_col=text_col)
+    keys = staged(full.drop("doc"), "mix-keys")
+    last = plan(keys, weights, share, most)
+    drop(keys)
+    rows = full.join(last.select("_source", "_epochs", "_last"), "_source")
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), copies().cast("int")))).select("doc.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     full = keyed(docs, 17, plain_share(F.col("text")), id_col="doc_id", source_col="source", text_col="text")
-    rows, _ = plan(staged(full.select(F.col("doc_id").alias("_id"), "_source", "_size", "_key"), "mix-keys"))
-    return rows.select(
-        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    keys = staged(full.select("doc.doc_id", "_source", "_size", "_key", "_row"), "mix-keys")
+    rows = keys.join(plan(keys), "_source")
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies()).alias("taken"))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS s, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0::DOUBLE)
+    -ln((('0x' || substr(md5('17:' || doc_id || ':' || coalesce(text, '')), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0::DOUBLE)
       / greatest(0.1, 1 - 5.0::DOUBLE * coalesce(len(regexp_extract_all(text, '[#*$%&|<>!]')), 0) / greatest(coalesce(length(text), 0), 1)) AS k
   FROM documents),
 t AS (SELECT s, sum(size)::BIGINT AS total FROM d GROUP BY s),
