@@ -1,23 +1,24 @@
 """Token counts of whole texts by a map-side two-tier lookup.
 
-A byte-level BPE tokenizer encodes each pre-token apart, so a text has as many tokens as its
-pre-tokens have together. The first pass counts pre-tokens over all documents; the most frequent ones
-(as many of the upper count levels as a fixed number holds, each of bounded length) and their token counts are broadcast as one dictionary. In the
-second pass every worker looks pre-tokens up there, and encodes those it misses once, keeping them in
-a cache of its own that is emptied when full. No pre-token is shuffled in the second pass, and the
-first sends a bounded table from each task.
+A byte-level BPE tokenizer encodes each pre-token apart, so a text has as many tokens as its pre-tokens
+have together. Which pre-tokens are frequent the tokenizer's own file says: a BPE vocabulary lists its
+entries in the order in which they were merged, frequent ones first. The first of its entries that are
+whole pre-tokens, a fixed number of them of bounded length, are broadcast with their token counts as one
+dictionary. Every worker looks pre-tokens up there, and encodes those it misses once, keeping them in a
+cache that lives as long as the worker, over all its tasks, and is emptied when full. The texts are read
+once and no pre-token leaves its task. What the table holds changes the speed only, never a count.
 
 The pre-token pattern is applied with Python's re to texts whose characters all lie in blocks where
 letters, numbers and spaces are listed here; any other text, and any that holds an added token's
 string, is encoded whole by the library, so counts are the library's in every case.
 
-Defined results: a null or empty text has 0 tokens; repeated rows count alike; no rows, no rows.
+Defined results: a null or empty text has 0 tokens; repeated rows count alike; no rows, no rows. Other
+columns are kept; those called n_bytes or n_tokens give way to the counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, staged
+from .common import read, slices, whole
 
-FREQUENT, LONGEST, TABLE, LIMIT = 32_768, 24, 20_000, 512
+FREQUENT, LONGEST, LIMIT = 32_768, 24, 512
 
 # The pre-token pattern of the vocabulary, with its classes written out for the blocks of PLAIN.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -60,7 +61,7 @@ def load(path: str):
 class Lengths(dict):
     """Token counts of pre-tokens that the broadcast table lacks, encoded once each."""
 
-    MOST = 1_000_000
+    MOST = 500_000
 
     def __init__(self, tokenizer, frequent: dict[str, int]):
         super().__init__(frequent)
@@ -74,59 +75,60 @@ class Lengths(dict):
         return n
 
 
-def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> list[str]:
-    """The most frequent pre-tokens over all documents. A task whose table outgrows its size sends it off and starts anew, so sums stay whole."""
+#: Of this worker, by tokenizer file: its tokenizer, splitter and cache.
+WORKER: dict[tuple[str, int], tuple] = {}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(load(path)[1])
-        seen: Counter = Counter()
-
-        def out():
-            rows = [(k, n) for k, n in seen.items() if n > 1 and len(k) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["piece", "n"])
-
-        for batch in slices(batches, text_col, 1_000_000):
-            for text in batch.column(text_col).to_pylist():
-                seen.update(split(text or "") or ())
-            if len(seen) > 20 * TABLE:
-                yield out()
-                seen.clear()
-        yield out()
-
-    counts = docs.select(text_col).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = staged(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "piece-counts")
-    kept, least = 0, None
-    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # 1,008 levels at most
-        kept += r["k"]
-        if kept > most:
+
+def of_worker(path: str, frequent) -> tuple:
+    key = path, frequent.value["size"]
+    if key not in WORKER:
+        tokenizer, added = load(path)
+        WORKER[key] = tokenizer, Splitter(added), Lengths(tokenizer, frequent.value["lengths"])
+    return WORKER[key]
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others, in order, as the characters from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(0x100) if b not in plain)}
+
+
+def frequent_pieces(tokenizer, split: Splitter, most: int = FREQUENT, longest: int = LONGEST) -> list[str]:
+    """The first entries of the vocabulary that are whole pre-tokens."""
+    byte, found = byte_of(), []
+    for entry, _ in sorted(tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1]):
+        if len(found) == most:
             break
-        least = r["level"]
-    return [] if least is None else sorted(r["piece"] for r in counts.where(F.col("level") >= least).select("piece").collect())
+        try:
+            piece = bytes(byte[c] for c in entry).decode()
+        except (KeyError, UnicodeDecodeError):  # not of a byte-level vocabulary, or a part of a character
+            continue
+        if len(piece) <= longest and split(piece) == [piece]:
+            found.append(piece)
+    return found
 
 
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """docs' columns, n_bytes and n_tokens; path is the tokenizer's file, which every executor has."""
-    tokenizer, _ = load(path)
-    pieces = frequent_pieces(docs, path, text_col, most)
-    table = {p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False))}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """docs' columns but the text, n_bytes and n_tokens; path is the tokenizer's file, which every executor has."""
+    tokenizer, added = load(path)
+    pieces = frequent_pieces(tokenizer, Splitter(added), most)
+    lengths = {p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False))}
+    shared = docs.sparkSession.sparkContext.broadcast({"size": most, "lengths": lengths})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, added = load(path)
-        split, lengths = Splitter(added), Lengths(tokenizer, shared.value)
+        tokenizer, split, lengths = of_worker(path, shared)
         of = lengths.__getitem__
-        for batch in slices(batches, text_col, 2_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             counts = []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column("text").to_pylist():
                 pieces = split(text or "")
                 counts.append(len(tokenizer.encode(text, add_special_tokens=False).ids) if pieces is None else sum(map(of, pieces)))
-            sizes = pc.cast(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), pa.int64())
-            kept = [c for c in batch.schema.names if c != text_col]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sizes, pa.array(counts, pa.int64())], [*kept, "n_bytes", "n_tokens"])
+            sizes = pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(counts, pa.int64())], ["doc", "n_bytes", "n_tokens"])
 
-    kept = [c for c in docs.columns if c != text_col]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(count, f"{fields}, n_bytes long, n_tokens long")
+    rows = docs.select(whole(docs, (text_col.lower(), "n_bytes", "n_tokens")).alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(count, f"doc {rows.schema['doc'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return rows.select("doc.*", "n_bytes", "n_tokens")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
