@@ -1,6 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
-The statistics are counts of character classes, brought to a common form by square roots and logs.
+The statistics describe language and layout (variety of words and lines, lengths, punctuation, capitals,
+digits, symbols), brought to a common form by square roots and logs.
 For each class the mean and the covariance come from sums over all labelled rows, gathered by one
 aggregate; the covariance is shrunk towards its diagonal and given a small ridge, and factored once
 by Cholesky. A document's score is the logistic function of the difference of the two log densities,
@@ -8,7 +9,8 @@ computed with the cached factors as one column expression.
 
 Defined results: a null or empty text has the statistics of no characters; where no label of one
 class is known the score is the share of good labels (0.5 without any); labels that repeat for an id
-count for each of its rows; no rows give no rows.
+count for each of its rows; no rows give no rows. Columns beyond id, text and label are not read and
+keep their names.
 """
 
 from __future__ import annotations
@@ -24,28 +26,28 @@ from .common import BLANK, bind, read, staged
 SHRINK, RIDGE, ACCEPT = 0.2, 0.02, 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Transformed document statistics. Rates have a few plain characters or words added, so that they mean little in a short text."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    chars, all_words = F.length(text), F.split(text, BLANK + "+")
-    words = F.size(all_words) + 5
-    return {
-        "_f0": F.ln(F.size(F.array_distinct(all_words)) + 5.0) / F.ln(words),
-        "_f1": F.sqrt(count(r"[#$%&*<>]") / words),
-        "_f2": F.sqrt(count(r"!") / words),
-        "_f3": F.sqrt(count(r"\|") / words),
-        "_f4": F.sqrt(count(r"\p{Lu}") / (chars + 40)),
-        "_f5": F.sqrt(count(r"[0-9]") / (chars + 40)),
-        "_f6": F.ln((chars + 25) / words),
-        "_f7": F.sqrt(count(r"[.,]") / words),
-    }
+def statistics(text: Column) -> Column:
+    """The SIZE transformed statistics of a text, as an array. Rates have a few plain characters or words added, so that they mean little in a short text. Words and lines are split once."""
+    text = F.coalesce(text, F.lit(""))
 
+    def of(x: Column) -> Column:
+        count = lambda pattern: F.regexp_count(x["text"], F.lit(pattern))
+        words, chars = F.size(x["words"]) + 5, F.length(x["text"])
+        return F.array(
+            F.ln(F.size(F.array_distinct(x["words"])) + 5.0) / F.ln(words),
+            F.ln((F.size(F.array_distinct(x["lines"])) + 3.0) / (F.size(x["lines"]) + 3.0)),
+            F.ln((chars + 25) / words),
+            F.sqrt(count(r"[.,;:]") / words),
+            F.sqrt(count(r"[!?]") / words),
+            F.sqrt(count(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()-]") / words),
+            F.sqrt(count(r"\p{Lu}") / (chars + 40)),
+            F.sqrt(count(r"[0-9]") / (chars + 40)),
+        )
 
-FEATURES = [f"_f{i}" for i in range(8)]
+    return bind(F.struct(text.alias("text"), F.split(text, BLANK + "+").alias("words"), F.split(text, "\n").alias("lines")), of)
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumns(statistics(F.coalesce(F.col(text_col), F.lit(""))))
+SIZE = 8
 
 
 class Discriminant:
@@ -77,35 +79,32 @@ class Discriminant:
             distance = distance + F.pow(y, 2)
         return (2 * prior - log_det - distance) / 2
 
-    def _score(self, values: list[Column]) -> Column:
-        ratio = self._log_density(1, values) - self._log_density(0, values)
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio))))
-
-    def score(self, values: list[Column]) -> Column:
-        """A score from 0 to 1 from the statistics, each computed once a row: the optimizer would copy them into every term."""
+    def score(self, values: Column) -> Column:
+        """A score from 0 to 1 from a column that holds the statistics."""
         if self.constant is not None:
             return F.lit(float(self.constant))
-        return bind(F.array(*values), lambda v: self._score([v[i] for i in range(len(values))]))
+        each = [values[i] for i in range(SIZE)]
+        ratio = self._log_density(1, each) - self._log_density(0, each)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), ratio))))
 
-    def scored(self, rows: DataFrame, to: str = "score") -> DataFrame:
-        """rows, which hold the statistics, with a score."""
-        return rows.withColumn(to, self.score([F.col(f) for f in FEATURES]))
+    def score_text(self, text: Column) -> Column:
+        """A score from 0 to 1, with each statistic computed once a row: the optimizer would copy them into every term."""
+        return bind(statistics(text), self.score)
 
 
-def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
-    """rows hold id and statistics. All labelled rows count; the driver gets 45 sums a class."""
-    joined = rows.select(id_col, *FEATURES).join(labels.select(id_col, F.col(label_col).cast("int").alias("_label")), id_col).where("_label in (0, 1)")
-    d = len(FEATURES)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    got = joined.groupBy("_label").agg(
-        F.count("*").alias("n"), *(F.sum(f).alias(f) for f in FEATURES), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"_{i}_{j}") for i, j in pairs)
-    )
+def fit(rows: DataFrame, labels: DataFrame, *, label_col: str = "quality") -> Discriminant:
+    """rows: doc_id and stats. All labelled rows count; the driver gets 45 sums a class."""
+    labels = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    joined = rows.join(labels, F.col("doc_id") == F.col("id"))
+    pairs = [(i, j) for i in range(SIZE) for j in range(i + 1)]
+    x = [F.col("stats")[i] for i in range(SIZE)]
+    got = joined.groupBy("label").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs))
     sums = {0: (0, None, None), 1: (0, None, None)}
     for r in got.collect():  # two rows
-        second = np.zeros((d, d))
+        second = np.zeros((SIZE, SIZE))
         for i, j in pairs:
-            second[i, j] = second[j, i] = r[f"_{i}_{j}"]
-        sums[r["_label"]] = (r["n"], np.array([r[f] for f in FEATURES]), second)
+            second[i, j] = second[j, i] = r[f"s{i}_{j}"]
+        sums[r["label"]] = (r["n"], np.array([r[f"s{i}"] for i in range(SIZE)]), second)
     return Discriminant(sums)
 
 
@@ -117,15 +116,14 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(~held_out(F.col("doc_id")))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT) -> DataFrame:
-    """docs' rows whose score reaches the threshold, with docs' columns. The statistics of labelled rows are read once for the fit; every row's are computed again where its text is, so no text is shuffled."""
-    model = fit(with_statistics(docs), labels)
-    score = model.score(list(statistics(F.coalesce(F.col("text"), F.lit(""))).values()))
-    return docs.where(score >= threshold)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows whose score reaches the threshold, with docs' columns. For the fit, the statistics (not the texts) are joined with the labels; then every row's are computed again where its text is, so no text is shuffled."""
+    model = fit(docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("stats")), labels)
+    return docs.where(model.score_text(F.col(text_col)) >= threshold)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(with_statistics(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-statistics")
+    rows = staged(read(spark, sf_dir, "documents").select("doc_id", statistics(F.col("text")).alias("stats")), "quality-statistics")
     model = fit(rows, training_labels(read(spark, sf_dir, "labels")))
-    out = model.scored(rows)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    score = model.score(F.col("stats"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
