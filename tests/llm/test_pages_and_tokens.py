@@ -1,8 +1,13 @@
+import math
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import tokens
-from verdigris.llm.html_text import extract, main_text
-from verdigris.llm.urls import BLOCKED, RULES, UrlModel, judge, labelled
+from verdigris.llm.html_text import extract, lines, main_lines, main_text
+from verdigris.llm.urls import ALLOWED, ALLOWED_PATHS, BLOCKED, BLOCKED_PATHS, BUCKETS, GRAMS, NEUTRAL_HOSTS, SITES, UrlModel, judge, labelled
 
 PAGES = {
     "<article><h1>T &amp; U</h1><p>One\n two<br>three<p>Four</article><footer>F</footer>": "T & U\n\nOne two three\n\nFour",
@@ -34,7 +39,14 @@ WHOLE = {
     "<article><p style='color: red; DISPLAY:none'>A</p><p aria-hidden=true>B</p><p HIDDEN>C</p><p hidden=''>D</p><p aria-hidden='false'>E</p></article>": "E",
     "<article><h2 id='related-work'>Related work</h2><p aria-label='Search for meaning'>A</p><section class='has-sidebar'><p>B</p></section></article>": "Related work\n\nA\n\nB",
     "<b><article><p>A</b> b</p><p>C</p></article><p>not of the article</p>": "A b\n\nC",
-    "<p>Short.</p>": "Short.",
+    "<p>Short.</p>": "Short.", "<p>Short one.</p>": "Short one.",
+    "<div class='content no-sidebar'><p>A good paragraph.</p></div>": "A good paragraph.",
+    "<div class='page with-sidebar'><p>A good paragraph.</p></div>": "A good paragraph.",
+    "<div class='search-results'><p>A good paragraph that has by far the most of the text on its page.</p></div><p>Top</p>": "A good paragraph that has by far the most of the text on its page.\n\nTop",
+    "<div class='legal'><p>A good paragraph.</p></div>": "A good paragraph.",
+    "<div class='story tags-open'><p>A good paragraph.</p><p>Yes.</p></div>": "A good paragraph.\n\nYes.",
+    "<p title=\"abc>text one</p><p class=\"x\">text two</p>": "text one\n\ntext two",
+    "<p title='it\"s' data-h=\"<b>q</b>\">one</p><p a = b c=>two</p>": "one\n\ntwo",
 }
 
 
@@ -49,10 +61,36 @@ def test_long_and_broken_pages():
     assert main_text("<article><p>a < b and <3 </p></div></div><p>c</article>") == "a < b and <3\n\nc"
 
 
+BROKEN = ["<script ", "<a ", "<p title=\"x>abc", "<!--", "<p a='", "<p>x &amp", "<title>", "<svg/><option>", "<p class=x a=\"", "</p ", "<!x", "<b><div>", "<div></span>", "<"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_pages_take_time_in_proportion(part):
+    def took(n):
+        page, best = part * (n // len(part)) + "</b>" * (n // 8), 1e9
+        for _ in range(3):
+            start = time.thread_time()
+            main_text(page)
+            best = min(best, time.thread_time() - start)
+        return best
+
+    assert took(800_000) < 0.3 + 20 * took(100_000)  # 8 if in proportion, 64 if quadratic
+
+
+def test_the_windows_decide_where_nothing_is_marked():
+    text = [f"A sentence of the text with some length, number {i}." for i in range(4)]
+    page = "<div>Login</div>" + "<div><a href=x>A menu entry</a></div>" * 4 + "".join(f"<p>{t}</p><div><a href=x>A menu entry</a></div><p>Yes.</p>" for t in text) + "<div><a href=x>A menu entry</a></div>" * 4 + "<div>Top</div>"
+    found = lines(page)
+    assert main_lines(found) == [x for t in text for x in (t, "Yes.")]
+    assert main_lines(found, window=1) != main_lines(found)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, "v", "<article>é😀</article>"), (2, "v", "<article>é😀</article>")], "page_id long, url string, html string")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in extract(pages).orderBy("page_id").collect()] == [(1, "", 0), (2, "é😀", 2), (2, "é😀", 2)]
     assert extract(pages.limit(0)).count() == 0
+    more = extract(pages.selectExpr("*", "1 as text", "2 as page", "3 as n_chars"))
+    assert more.columns == ["page_id", "url", "page", "text", "n_chars"] and {(r["page"], r["n_chars"]) for r in more.collect()} == {(2, 0), (2, 2)}
 
 
 URLS = {
@@ -73,14 +111,45 @@ def test_urls(spark):
     assert judge(rows.limit(0)).count() == 0
 
 
-def test_url_model_tells_names_it_has_not_seen(spark):
-    held = BLOCKED.split()[::5]
-    model = UrlModel(labelled(spark, " ".join(x for x in BLOCKED.split() if x not in held)))
-    names = held + ["thermos", "nathan", "history-club", "weather-map"]
-    rows = spark.createDataFrame([(n, f"http://www.{n}.example.org/en/77") for n in names], "name string, url string")
-    got = {r["name"]: r["verdict"] for r in judge(rows, RULES, model).collect()}
-    assert sum(got[n] == "block" for n in held) >= 0.6 * len(held)
-    assert all(got[n] == "allow" for n in names[len(held) :])
+#: Names and paths that are not in the labelled table.
+UNSEEN_BAD = "casinopalace grandcasino poker-night slotsheaven jackpot-planet bettingexpert sports-betting24 lotto-jackpot adult-dating-now pornhouse xxxclips sexchat viagradiscount cheappills-direct pharmacycheap replicashop paydayloanz freeprize-claim free-money-club spamfactory buy-cheap-links adclick-server popupads-net clicktracking warezcentral crackz-download phishing-page"
+UNSEEN_GOOD = "countylibrary sciencemuseum eveningnews mountainweather cookingclass historyarchive bookreaders musicians-guild gardencenter riverboats schooldistrict mathforum photography-course villagechurch climateoffice hospitalcare trainstation danceacademy citytheatre translation-bureau winecellar astronomyclub teachersguide nature-reserve familydoctor thistle-and-thorn tintern-abbey"
+UNSEEN_BAD_PATHS = "/casino/live /poker/freeroll /adult/gallery /viagra/order /free-prizes /xxx/clips /betting/odds /warez/new"
+UNSEEN_GOOD_PATHS = "/en/99 /news/2020/summer /recipes/soup /library/new-books /articles/geology /docs/intro.html /weather/today /museum/tickets"
+
+
+def test_url_model_on_names_and_paths_it_has_not_seen(spark):
+    table = set(f"{BLOCKED} {ALLOWED} {BLOCKED_PATHS} {ALLOWED_PATHS}".split())
+    names = [(f"http://www.{n}.org/en/77", k) for k, part in ((1, UNSEEN_BAD), (0, UNSEEN_GOOD)) for n in part.split()]
+    paths = [(f"http://{NEUTRAL_HOSTS[0]}{p}", k) for k, part in ((1, UNSEEN_BAD_PATHS), (0, UNSEEN_GOOD_PATHS)) for p in part.split()]
+    assert not table & set(f"{UNSEEN_BAD} {UNSEEN_GOOD} {UNSEEN_BAD_PATHS} {UNSEEN_GOOD_PATHS}".split())
+    assert not any(name in table for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"))
+    for rows in (names, paths):
+        got = {r["url"]: r["verdict"] for r in judge(spark.createDataFrame([(u,) for u, _ in rows], "url string"), rules=[]).collect()}
+        right = sum((got[u] == "block") == bool(k) for u, k in rows)
+        assert right >= 0.9 * len(rows), [u for u, k in rows if (got[u] == "block") != bool(k)]
+
+
+def test_scores_are_the_weights_summed(spark):
+    model = UrlModel(labelled(spark))
+    rows = spark.createDataFrame([(i, f"http://{SITES[i % 5].format(n)}/a/12/{n}?q") for i, n in enumerate(UNSEEN_GOOD.split())], "page_id long, url string")
+    got = {r["url"]: r["block_probability"] for r in judge(rows, rules=[], model=model).collect()}
+    grams = []
+    for url in got:
+        host, path = re.fullmatch(r"http://([^/]*)([^?]*).*", url).groups()
+        fenced, path = f"^{host}$", re.sub("[0-9]+", "0", path)
+        grams += [(url, m, t[i : i + n]) for m, t in (("h", fenced), ("p", path)) for n in GRAMS for i in range(len(t) - n + 1)]
+    hashed = spark.createDataFrame(grams, "url string, mark string, gram string").select("url", F.pmod(F.xxhash64("mark", "gram"), F.lit(BUCKETS)).alias("b")).collect()
+    for url, p in got.items():
+        margin = model.intercept + sum(model.weights[r["b"]] for r in hashed if r["url"] == url)
+        assert p == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
+def test_clashing_columns_of_pages(spark):
+    rows = spark.createDataFrame([(1, "http://x.net/es/a")], "page_id long, url string").selectExpr("*", "1 as host", "2 as said", "3 as page", "4 as Verdict")
+    got = judge(rows)
+    assert got.columns == ["page_id", "url", "said", "page", "host", "path", "rule", "block_probability", "verdict"]
+    assert got.first()["verdict"] == "block" and (got.first()["said"], got.first()["page"]) == (2, 3)
 
 
 TEXTS = ["Hello world's  end\n\n", "<|endoftext|> a<|endoftext|>", None, "", "naïve café ½ x² 12345 don't I'LL", "日本語 текст ελλάδα", "\u00a0\u2003 \u3000x", "a\x1cb\x85c\u200bd", "😀😀 ﬁ ǅ", "'s 're ''' \t\n x", "x" * 5000, "  lead and trail   ", "…—“q”€5", "a\r\n\r\n b"]
@@ -97,6 +166,19 @@ def test_token_counts_are_the_librarys(spark):
     rows = tokens.count_tokens(docs, path).collect()
     assert len(rows) == 3 * len(TEXTS) and all(r["n_tokens"] == want[r["doc_id"]] and r["n_bytes"] == len((TEXTS[r["doc_id"]] or "").encode()) for r in rows)
     assert tokens.count_tokens(docs.limit(0), path).count() == 0
+    assert tokens.count_tokens(docs.selectExpr("*", "1 as n_tokens", "2 as doc"), path).columns == ["doc_id", "n", "doc", "n_bytes", "n_tokens"]
+    few = {(r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(docs, path, most=10).collect()}
+    assert few == set(want.items())
+
+
+def test_frequent_pieces_are_whole_pre_tokens():
+    import public_tokenizers
+
+    tokenizer, added = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    split = tokens.Splitter(added)
+    pieces = tokens.frequent_pieces(tokenizer, split, 500)
+    assert len(pieces) == 500 and " the" in pieces and all(split(p) == [p] for p in pieces)
+    assert max(len(e.ids) for e in tokenizer.encode_batch(pieces)) == 1
 
 
 def test_a_small_cache_changes_nothing(spark, monkeypatch):

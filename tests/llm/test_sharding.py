@@ -52,3 +52,20 @@ def test_rounds_go_deeper_only_where_needed(spark, docs_of):
 def test_empty_and_columns(spark, docs_of):
     assert shard(docs_of([])).count() == 0
     assert shard(docs_of([(1, "a")])).columns[-5:] == ["shard", "shard_depth", "shard_bytes", "shard_rows", "oversized"]
+
+
+def test_clashing_names(spark, docs_of):
+    names = ["_hash", "_bytes", "_cell", "_depth", "_shard_bytes", "doc", "a.b"]
+    df = docs_of([(i, "x" * i) for i in range(30)]).selectExpr("*", *(f"{i} as `{n}`" for i, n in enumerate(names)))
+    once = shard(df, 60)
+    assert once.columns == [*df.columns, "shard", "shard_depth", "shard_bytes", "shard_rows", "oversized"]
+    assert all(r[n] == i for r in once.collect() for i, n in enumerate(names))
+    again = shard(once, 100)
+    assert again.columns == once.columns and {(r["doc_id"], r["shard"]) for r in again.collect()} == {(r["doc_id"], r["shard"]) for r in shard(df, 100).collect()}
+
+
+def test_the_registered_small_limit_splits(spark):
+    from verdigris.llm.sharding import small_shards
+
+    rows = small_shards(spark, "/root/testdata/sf0.001").collect()
+    assert len({r["shard_depth"] for r in rows}) > 1

@@ -35,6 +35,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root}/verdigris-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths that this process has staged and not dropped, in order.
+LIVE: list[tuple[SparkSession, str]] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and the rows are computed once. What the writing has shuffled is freed at its end."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
@@ -44,16 +48,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
+    LIVE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    LIVE[:] = [x for x in LIVE if x[1] != path]
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables. For tables that no plan still to be run reads: results are lazy."""
     for table in tables:
-        spark, path = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.staged_at)
+
+
+def drop_others(before: list, *kept: DataFrame) -> None:
+    """Deletes what has been staged since `before` (a copy of LIVE), but `kept`."""
+    keep = {path for _, path in before} | {table.staged_at for table in kept}
+    for spark, path in [x for x in LIVE if x[1] not in keep]:
+        _delete(spark, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -64,6 +81,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A row of df as a struct, which keeps its columns apart from working ones of any name; `without` names columns to leave out (case is ignored)."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in without))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else; lower() would change other letters too."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,6 +9,8 @@ are still too large go round again, eight bits deeper, with their own rows only.
 Defined results: a bucket of one row that is larger than the limit is a shard of its own, marked
 oversized; rows that agree in every hash bit (equal id and text) cannot be split by any bit and stay
 together, marked oversized if they exceed the limit; a null text has 0 bytes; no rows give no rows.
+Columns of docs keep their names and values; where one is called like an output (OUTPUTS), the output
+takes its place, so a sharded table can be sharded again.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash60, read, staged
+from .common import drop, hash60, read, staged, whole
 
 BITS, LIMIT = 60, 8 << 20
+OUTPUTS = ("shard", "shard_depth", "shard_bytes", "shard_rows", "oversized")
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, _hash, _bytes): doc has docs' columns but those called like an output."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_hash": hash60(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text)), "_bytes": F.octet_length(text).cast("long")})
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text)
+    return docs.select(whole(docs, OUTPUTS).alias("doc"), hash60(name).alias("_hash"), F.octet_length(text).cast("long").alias("_bytes"))
 
 
 def directory(keys: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
@@ -52,23 +57,28 @@ def directory(keys: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 def shard(docs: DataFrame, limit: int = LIMIT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns and shard (its bit prefix as a 0/1 string), shard_depth, shard_bytes, shard_rows, oversized."""
     full = hashed(docs, id_col, text_col)
-    parts, settled = [], directory(staged(full.select("_hash", "_bytes"), "shard-keys"), limit)
+    keys = staged(full.select("_hash", "_bytes"), "shard-keys")
+    parts, settled = [], directory(keys, limit)
+    drop(keys)
     for depth, cells in settled:
         rows = full.withColumn("_cell", F.shiftright("_hash", BITS - depth)).join(cells, "_cell")
         bits = F.lpad(F.bin(F.expr(f"shiftright(_cell, {depth} - _depth)")), F.col("_depth"), F.lit("0"))
-        parts.append(rows.select(
-            *docs.columns, F.when(F.col("_depth") == 0, "").otherwise(bits).alias("shard"), F.col("_depth").alias("shard_depth"),
-            F.col("_shard_bytes").alias("shard_bytes"), F.col("_shard_rows").alias("shard_rows"), F.col("_oversized").alias("oversized"),
-        ))
+        values = (F.when(F.col("_depth") == 0, "").otherwise(bits), F.col("_depth"), F.col("_shard_bytes"), F.col("_shard_rows"), F.col("_oversized"))
+        parts.append(rows.select("doc.*", *(v.alias(c) for v, c in zip(values, OUTPUTS))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
     return out
 
 
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "shard", "shard_depth", "shard_bytes", "shard_rows", "oversized")
+def op5(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
+    rows = shard(read(spark, sf_dir, "documents").select("doc_id", "text"), limit)
+    return rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), *OUTPUTS)
+
+
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with shards of 48 KiB, so that a small table splits unevenly and deep."""
+    return op5(spark, sf_dir, 48 << 10)
 
 
 ORACLE = """
@@ -81,3 +91,4 @@ f AS (SELECT l.doc_id, l.b, l.h, l.depth, l.p, s.bytes, s.n, row_number() OVER (
 SELECT doc_id, b AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(p), 60, '0'), depth::INT) END AS shard, depth::INT AS shard_depth,
   bytes AS shard_bytes, n AS shard_rows, bytes > 8388608 AS oversized FROM f WHERE k = 1
 """
+SMALL_ORACLE = ORACLE.replace(str(LIMIT), str(48 << 10))
