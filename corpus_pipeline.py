@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import jaccard_join, mixing, phrase_index, quality_model, sharding
-from verdigris.llm.common import read, shared_folder
+from verdigris.llm.common import LIVE, drop, drop_others, read, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram Jaccard links connect."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each group that n-gram Jaccard links connect: five words, 80 of 100."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, in order."""
-    docs = read(spark, sf_dir, "documents")
+    """STAGES applied to documents, in order. Each stage's rows are written and read again; what else it has staged, and its own input, go then."""
+    docs, last = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = shared_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before = list(LIVE)
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_others(before, docs)
+        drop(*last)
+        last = [docs]
     return docs
