@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,67 @@ def drop_others(before: list, *kept: DataFrame) -> None:
         _delete(spark, path)
 
 
+#: Blocks in which a key filter is put together, in bytes; the bits that it has for a key, and at most in all; where its probes begin in a key's 64 mixed bits.
+FILTER_BLOCK, BITS_FOR_A_KEY, MOST_BITS, PROBES = 4096, 16, 1 << 28, (0, 18, 36)
+
+
+def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    own = mixed(keys.view(np.uint64))
+    return [((own >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64) for shift in PROBES]
+
+
+def key_filter(keys: DataFrame) -> Broadcast:
+    """A Bloom filter of a staged column of longs, put together block by block as a job, and broadcast: two bytes a key, 32 megabytes at most. Beyond that it lets more and more pass that is not among the keys, which costs time only: whoever uses it joins afterwards."""
+    (name,), spark = keys.columns, keys.sparkSession
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(FILTER_BLOCK * 8, BITS_FOR_A_KEY * keys.count() - 1).bit_length())
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(np.asarray(batch.column(0)), bits)))
+            blocks, first = np.unique(at // (FILTER_BLOCK * 8), return_index=True)
+            rows = []
+            for block, part in zip(blocks.tolist(), np.split(at, first[1:])):
+                marks = np.zeros(FILTER_BLOCK * 8, bool)
+                marks[part - block * FILTER_BLOCK * 8] = True
+                rows.append(np.packbits(marks, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(rows, pa.binary())], ["block", "marks"])
+
+    def together(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FILTER_BLOCK, np.uint8)
+        for table in tables:
+            for marks in table.column("marks").to_pylist():
+                total |= np.frombuffer(marks, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "marks"])
+
+    large = keys.mapInArrow(marked, "block int, marks binary")
+    out = np.zeros(bits // 8, np.uint8).reshape(-1, FILTER_BLOCK)
+    for r in large.groupBy("block").applyInArrow(together, "block int, marks binary").collect():  # the filter's bytes in all
+        out[r["block"]] = np.frombuffer(r["marks"], np.uint8)
+    return spark.sparkContext.broadcast(out.ravel())
+
+
+def may_hold(marks: Broadcast, key: Column) -> Column:
+    """Whether the key may be in the filter: true for all that are. Only the key's column goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        bits, found = marks.value, np.ones(len(keys), bool)
+        for at in _probes(np.ascontiguousarray(keys.to_numpy(np.int64)), len(bits) * 8):
+            found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(found)
+
+    return held(key)
+
+
+def without(rows: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rows but those that the staged table gone (doc_id, row: a hash of id and text) names. Rows that its filter does not know stay where they are; only the others are joined with it."""
+    marks, key = key_filter(gone.select("row")), F.xxhash64(F.col(id_col), F.col(text_col))
+    held = may_hold(marks, key)
+    some = rows.where(held)
+    same = (F.xxhash64(some[id_col], some[text_col]) == gone["row"]) & some[id_col].cast("long").eqNullSafe(gone["doc_id"])
+    return rows.where(~held).unionAll(some.join(gone, same, "left_anti"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name with as many underscores before it as make it none of df's columns (column names ignore case)."""
     taken = {c.lower() for c in df.columns}

@@ -41,13 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop, free_name, grams, mixed, read, slices, split, staged
+from .common import WordHashes, drop, free_name, grams, key_filter, may_hold, mixed, read, slices, split, staged, without
 from .components import components
 
 SIZE, PERCENT = 4, 85
 SKETCH, BLOCK, RANGES, BLOCK_OF = 1 << 20, 4096, 64, 256
-#: Bits of the filter that keeps texts nobody asks for out of a shuffle, and which bits of a row's hash number its places there.
-FILTER_BITS, FILTER_SHIFTS = 1 << 25, (0, 20, 39)
 
 
 def shingle_sets(texts: pa.Array, hashes: WordHashes, size: int) -> list[np.ndarray]:
@@ -162,51 +160,13 @@ def _prefixes(size: int, percent: int, levels):
     return run
 
 
-def _places(rows: np.ndarray) -> list[np.ndarray]:
-    return [((rows >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for shift in FILTER_SHIFTS]
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter's blocks that hold a row of this task."""
-    marks = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        for at in _places(np.asarray(batch.column("row")).view(np.uint64)):
-            marks[at] = True
-    blocks = np.packbits(marks, bitorder="little").reshape(-1, BLOCK)
-    some = np.flatnonzero(blocks.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "marks"])
-
-
-def _together(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.uint8)
-    for marks in table.column("marks").to_pylist():
-        total |= np.frombuffer(marks, np.uint8)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([total.tobytes()], pa.binary())})
-
-
-def row_filter(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of the rows' hashes: four megabytes, whatever their number. The more there are, the less it keeps out."""
-    blocks = wanted.select("row").mapInArrow(_marked, "block int, marks binary").groupBy("block").applyInArrow(_together, "block int, marks binary")
-    out = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, BLOCK)
-    for r in blocks.collect():  # FILTER_BITS in all
-        out[r["block"]] = np.frombuffer(r["marks"], np.uint8)
-    return out.ravel()
-
-
-def _whole(size: int, marks):
-    """(class, row, elements) of the texts that the filter lets pass."""
-
+def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), marks.value
-        for batch in batches:
-            rows = np.asarray(batch.column("row")).view(np.uint64)
-            wanted = np.ones(len(rows), bool)
-            for at in _places(rows):
-                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            for part in slices([batch.filter(pa.array(wanted))], "text"):
-                sets = shingle_sets(part.column("text"), hashes, size)
-                elements = binaries(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes_of(sets)), part.column("row"), elements], ["class", "row", "elements"])
+        hashes = WordHashes()
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text"), hashes, size)
+            elements = binaries(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), elements], ["class", "elements"])
 
     return run
 
@@ -315,7 +275,7 @@ class Join:
         shared = staged(found.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("token"), "join-shared")
         own = F.count("*").over(Window.partitionBy("class"))
         rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - own)
-        known = found.join(shared, "token").repartition("class").dropDuplicates(["class", "token"])  # classes come from several tasks
+        known = found.where(may_hold(key_filter(shared), F.col("token"))).join(shared, "token").repartition("class").dropDuplicates(["class", "token"])  # classes come from several tasks
         self.postings = staged(known.withColumn("rest", rest.cast("int")).withColumn("band", self._band(F.col("n"))), "join-postings")
         drop(found, shared)
         self.repeats = not self.documents.groupBy("doc_id", "row").count().where("count > 1").isEmpty()
@@ -347,15 +307,14 @@ class Join:
         return staged(both.mapInArrow(_far(self.percent), "u long, v long"), label)
 
     def _need(self, wanted: DataFrame) -> None:
-        """Stages the sets of the classes `wanted` that are not there yet, from one text each. No text is shuffled, and of the sets only those that the filter lets pass."""
+        """Stages the sets of the classes `wanted` that are not there yet, from one text each. Of the texts only those are shuffled that a filter of the wanted ones lets pass."""
         wanted = wanted.select("class").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("class"), "class", "left_anti")
         wanted = staged(wanted.join(self.classes.select("class", "row"), "class").select("class", "row"), "join-wanted")
         if self.sets is None or not wanted.isEmpty():
-            marks = wanted.sparkSession.sparkContext.broadcast(row_filter(wanted))
-            sets = self.rows.select("row", "text").mapInArrow(_whole(self.size, marks), "class long, row long, elements binary")
-            sets = sets.join(wanted, ["class", "row"]).select("class", "elements")
+            texts = self.rows.select("row", "text").where(may_hold(key_filter(wanted.select("row")), F.col("row"))).join(wanted, "row")
+            sets = texts.select("class", "text").mapInArrow(_whole(self.size), "class long, elements binary")
             sets = staged(sets.dropDuplicates(["class"]) if self.repeats else sets, "join-sets")
             self._parts.append(sets)
             self.sets = sets if self.sets is None else self.sets.unionAll(sets)
@@ -490,16 +449,13 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, *, id
     gone = staged(found.where(~F.col("first")).select("doc_id", "row").unionAll(repeated.select("doc_id", "row")).distinct(), "join-gone")
     join.drop_all()
     drop(*join.results)
-    row = free_name(docs, "row")
-    rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
-
-    def same(other: DataFrame) -> Column:
-        return (rows[row] == other["row"]) & rows[id_col].eqNullSafe(other["doc_id"])
-
-    kept = rows.join(gone, same(gone), "left_anti")
+    kept = without(docs, gone, id_col=id_col, text_col=text_col)
     if not repeated.isEmpty():
-        kept = kept.unionAll(rows.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, row]))
-    return kept.select(*docs.columns)
+        row = free_name(docs, "row")
+        rows = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
+        same = (rows[row] == repeated["row"]) & rows[id_col].cast("long").eqNullSafe(repeated["doc_id"])
+        kept = kept.unionAll(rows.join(repeated, same, "left_semi").dropDuplicates([id_col, row]).drop(row))
+    return kept
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read, slices, staged, utf8
+from .common import drop, read, slices, staged, utf8, without
 
 WIDTH, BLOCK_BYTES, CANDIDATES = 10, 2 << 20, 1_000_000
 
@@ -239,10 +239,9 @@ def proximity(index: DataFrame, words: list[str], slop: int) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     """docs without the rows that hold a window of any item."""
     index = build_index(docs)
-    found = staged(search(index, items, **names).where("n_hit > 0").select("doc_id", "doc_key").distinct(), "contaminated")
+    found = staged(search(index, items, **names).where("n_hit > 0").select("doc_id", F.col("doc_key").alias("row")).distinct(), "contaminated")
     drop(index)
-    same = (F.xxhash64(docs["doc_id"], docs["text"]) == found["doc_key"]) & docs["doc_id"].eqNullSafe(found["doc_id"])
-    return docs.join(found, same, "left_anti")
+    return without(docs, found)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

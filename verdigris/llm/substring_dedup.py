@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop, grams, mixed, read, slices, split, staged
+from .common import WordHashes, drop, grams, key_filter, may_hold, mixed, read, slices, split, staged
 from .fm_index import FMIndex
 
 WINDOW, RUN = 20, 8
@@ -187,10 +187,12 @@ def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, most: int =
     found = staged(rows.select("row", "text").mapInArrow(_minimizers, "minimizer long, row long, first int"), "minimizers")
     # staged, so that the join shuffles both sides for itself and a hot minimizer's rows can be split
     twice = staged(found.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "minimizers-seen-twice")
-    firsts = staged(found.join(twice, "minimizer").groupBy("row").agg(F.collect_set("first").alias("firsts")), "piece-starts")  # of one document
+    some = found.where(may_hold(key_filter(twice), F.col("minimizer")))
+    firsts = staged(some.join(twice, "minimizer").groupBy("row").agg(F.collect_set("first").alias("firsts")), "piece-starts")  # of one document
     drop(found, twice)
     level, removed = 0, []
-    some = staged(rows.join(firsts, "row").select("row", "late", "doc_id", "text", "firsts").mapInArrow(_pieces, PIECE), "pieces")
+    held = may_hold(key_filter(firsts.select("row")), F.col("row"))
+    some = staged(rows.where(held).join(firsts, "row").select("row", "late", "doc_id", "text", "firsts").mapInArrow(_pieces, PIECE), "pieces")
     drop(firsts)
     while True:
         place, name = F.struct(*PLACE), ["key", "h1", "h2"]
@@ -247,7 +249,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     removed = removed_windows(known, shard_words, most)
     runs = staged(reduce(DataFrame.unionAll, removed).groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), "runs-to-remove")  # of one document
     drop(*removed)
-    joined = rows.join(runs, "row", "left").select(F.col("id").alias("doc_id"), "text", "runs")
+    held, none = may_hold(key_filter(runs.select("row")), F.col("row")), F.lit(None).cast(runs.schema["runs"].dataType)
+    rows = rows.where(held).join(runs, "row", "left").unionAll(rows.where(~held).withColumn("runs", none))
+    joined = rows.select(F.col("id").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
 
 
