@@ -57,3 +57,22 @@ def test_hash60_is_the_md5_prefix(spark):
 
     r = spark.sql("select 'é:1' as x").select(common.hash60(F.col("x")).alias("h")).first()
     assert r["h"] == int(hashlib.md5("é:1".encode()).hexdigest()[:15], 16)
+
+
+def test_key_filters_let_all_keys_pass_and_few_others(spark, monkeypatch):
+    keys = common.staged(spark.range(0, 5000).selectExpr("xxhash64(id) as key"), "keys")
+    others = spark.range(5000, 25_000).selectExpr("xxhash64(id) as key")
+    marks = common.key_filter(keys)
+    assert keys.where(common.may_hold(marks, F.col("key"))).count() == 5000
+    assert others.where(common.may_hold(marks, F.col("key"))).count() < 400
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)  # far too small: nearly all pass, no key is lost
+    assert keys.where(common.may_hold(common.key_filter(keys), F.col("key"))).count() == 5000
+    empty = common.staged(keys.limit(0), "no keys")
+    assert others.where(common.may_hold(common.key_filter(empty), F.col("key"))).count() == 0
+
+
+def test_rows_without(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, None), (2, "a"), (2, "a")], "doc_id long, text string").selectExpr("*", "3 as row")
+    gone = common.staged(rows.where("(doc_id = 1 and text = 'b') or doc_id = 2 or (doc_id is null and text is null)").selectExpr("doc_id", "xxhash64(doc_id, text) as row").distinct(), "gone")
+    assert sorted(map(tuple, common.without(rows, gone).collect()), key=str) == [(1, "a", 3), (None, "a", 3)]
+    assert common.without(rows, common.staged(gone.limit(0), "none")).count() == 6

@@ -186,6 +186,8 @@ def test_a_small_cache_changes_nothing(spark, monkeypatch):
 
     tokenizer, added = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
     monkeypatch.setattr(tokens.Lengths, "MOST", 2)
-    lengths, split = tokens.Lengths(tokenizer, {}), tokens.Splitter(added)
-    text = "one two three four one two five six " * 3
-    assert sum(map(lengths.__getitem__, split(text))) == len(tokenizer.encode(text).ids)
+    lengths, split = tokens.Lengths(tokenizer, {"one": 1}), tokens.Splitter(added)
+    for text in ("one two three four one two five six " * 3, "seven eight one", "two"):
+        lengths.learn(set(split(text)))
+        assert sum(map(lengths.__getitem__, split(text))) == len(tokenizer.encode(text).ids)
+    assert set(lengths) == {"one", "two"}

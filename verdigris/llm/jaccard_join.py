@@ -180,7 +180,7 @@ def shared_size(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verified(percent: int):
-    """Over rows sorted by u, in each of which v has its set and the first of each u has u's: the links (u, v)."""
+    """From rows (u, v, their sets ea and eb): the links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

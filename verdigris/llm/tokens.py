@@ -18,8 +18,10 @@ columns are kept; those called n_bytes or n_tokens give way to the counts.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,6 +52,7 @@ class Splitter:
 
 
 def load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -67,12 +70,15 @@ class Lengths(dict):
         super().__init__(frequent)
         self.tokenizer, self.frequent = tokenizer, frequent
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= self.MOST + len(self.frequent):
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes those that are not here, all at once."""
+        new = list(pieces - self.keys())
+        if len(self) + len(new) > self.MOST + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-        self[piece] = n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return n
+            new = list(pieces - self.keys())
+        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self[piece] = len(encoded)
 
 
 #: Of this worker, by tokenizer file: its tokenizer, splitter and cache.
@@ -119,10 +125,10 @@ def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", most: in
         tokenizer, split, lengths = of_worker(path, shared)
         of = lengths.__getitem__
         for batch in slices(batches, "text", 2_000_000):
-            counts = []
-            for text in batch.column("text").to_pylist():
-                pieces = split(text or "")
-                counts.append(len(tokenizer.encode(text, add_special_tokens=False).ids) if pieces is None else sum(map(of, pieces)))
+            texts = batch.column("text").to_pylist()
+            found = [split(text or "") for text in texts]
+            lengths.learn(set(chain.from_iterable(filter(None, found))))
+            counts = [len(tokenizer.encode(text, add_special_tokens=False)) if pieces is None else sum(map(of, pieces)) for text, pieces in zip(texts, found)]
             sizes = pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(counts, pa.int64())], ["doc", "n_bytes", "n_tokens"])
 
