@@ -65,6 +65,7 @@ ALLOWED_PATHS = """
 / /about /contact /news/2021/04/spring-weather /articles/history-of-printing /blog/how-to-bake-bread /docs/manual/index.html /library/catalogue /events/calendar
 /team /research/papers/12 /en/12 /fr/345.html /de/618/ /es/41 /it/7 /category/gardening /recipes/apple-pie /help/faq /products/bicycles /tickets/concert
 /weather/forecast /museum/opening-hours /download/report.pdf /photos/mountains /search /archive/1998 /school/timetable /sports/results /health/advice
+/fr/actualites /fr/27/ /fr/culture/8 /de/artikel/61 /de/kontakt /es/noticias/3 /es/cultura /en/news/8 /en/853/ /en/press.html /it/notizie /pt/1 /nl/nieuws/4
 """
 
 NEUTRAL_HOSTS = ("example.org", "www.mysite.info", "pages.hosting.net", "users.provider.com")
