@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -106,12 +105,12 @@ def key_filter(keys: DataFrame) -> Broadcast:
 def may_hold(marks: Broadcast, key: Column) -> Column:
     """Whether the key may be in the filter: true for all that are. Only the key's column goes to Python."""
 
-    @F.pandas_udf("boolean")
-    def held(keys: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def held(keys: pa.Array) -> pa.Array:
         bits, found = marks.value, np.ones(len(keys), bool)
-        for at in _probes(np.ascontiguousarray(keys.to_numpy(np.int64)), len(bits) * 8):
+        for at in _probes(np.asarray(keys), len(bits) * 8):
             found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
+        return pa.array(found)
 
     return held(key)
 
@@ -153,7 +152,7 @@ def hash60(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `most` bytes of text; a longer text stays whole, alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -191,7 +190,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last; the cache is emptied when it is full."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
