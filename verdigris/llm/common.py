@@ -169,11 +169,6 @@ def text_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
-def utf8(texts: pa.Array) -> list[bytes]:
-    """Texts as UTF-8 bytes, null as empty."""
-    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-
-
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts one after another, and where each text's begin (one entry more than texts). A null has none."""
     trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))

@@ -18,17 +18,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read, slices, staged, utf8, without
+from .common import drop, read, slices, split, staged, without
 
-WIDTH, BLOCK_BYTES, CANDIDATES = 10, 2 << 20, 1_000_000
+WIDTH, BLOCK_BYTES, SEGMENT_BYTES, CANDIDATES = 10, 2 << 20, 4_000_000, 1_000_000
 
 #: A-Z to a-z, all other ASCII but digits and a-z to a blank; bytes of other characters stay.
 FOLD = bytes((i + 32 if 0x41 <= i <= 0x5A else i) if i >= 0x80 or 0x30 <= i <= 0x39 or 0x41 <= i <= 0x5A or 0x61 <= i <= 0x7A else 0x20 for i in range(256))
@@ -41,6 +41,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts as words_of() splits them: FOLD over all their bytes at once; null is empty."""
+    filled = pc.fill_null(texts, "").cast(pa.string())
+    _, offsets, data = filled.buffers()
+    ends = np.frombuffer(offsets, np.int32)[filled.offset : filled.offset + len(filled) + 1]
+    body = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().translate(FOLD) if data and len(filled) else b""
+    return pa.StringArray.from_buffers(len(filled), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(body))
+
+
 class Numbers(dict):
     """Numbers words as they come."""
 
@@ -54,11 +63,10 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
-            words = [words_of(t) for t in utf8(batch.column("text"))]
-            starts = np.cumsum([0, *map(len, words)])
-            terms = Numbers()
-            ids = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int32, int(starts[-1]))
+        for batch in slices(batches, "text", SEGMENT_BYTES):
+            words, starts = split(folded(batch.column("text")))
+            coded = words.dictionary_encode()
+            terms, ids = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             counts = np.bincount(ids, minlength=len(terms)).astype(np.int32)
             positions = np.argsort(ids, kind="stable").astype(np.int32)
             row = [[segment], [b" ".join(terms)], [counts.tobytes()], [positions.tobytes()], [batch.column("doc_id")], [batch.column("key")], [starts.astype(np.int32)]]
