@@ -153,7 +153,7 @@ def hash60(c: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about `most` bytes of text; a longer text stays whole, alone."""
+    """The batches cut into runs of rows of about `most` bytes of text; a longer text stays whole, alone. After each batch the memory that Arrow keeps for later goes back, as several workers share a machine."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,6 +163,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000
             end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, end - start)
             start, base = end, int(ends[end - 1])
+        pa.default_memory_pool().release_unused()
 
 
 def text_lengths(texts: pa.Array) -> np.ndarray:

@@ -314,8 +314,10 @@ class Join:
         wanted = staged(wanted.join(self.classes.select("class", "row"), "class").select("class", "row"), "join-wanted")
         if self.sets is None or not wanted.isEmpty():
             texts = self.rows.select("row", "text").where(may_hold(key_filter(wanted.select("row")), F.col("row"))).join(wanted, "row")
-            sets = texts.select("class", "text").mapInArrow(_whole(self.size), "class long, elements binary")
+            texts = staged(texts.select("class", "text"), "join-texts")  # so that filter and sets are not two Python workers of one task
+            sets = texts.mapInArrow(_whole(self.size), "class long, elements binary")
             sets = staged(sets.dropDuplicates(["class"]) if self.repeats else sets, "join-sets")
+            drop(texts)
             self._parts.append(sets)
             self.sets = sets if self.sets is None else self.sets.unionAll(sets)
         drop(wanted)
