@@ -140,16 +140,15 @@ def _cut(level: int):
 
 
 def _hashed_runs(h: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of h[first : first + length] for each run."""
+    """Two 64-bit hashes of h[first : first + length] for each run: polynomials in an odd base, from running sums, so that a run's length costs nothing."""
     out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        total, live, k = np.zeros(len(first), np.uint64), np.arange(len(first)), 0
-        while len(live):
-            x = total[live] * np.uint64(seed) + h[first[live] + k]
-            total[live] = x ^ (x >> np.uint64(31))
-            k += 1
-            live = live[length[live] > k]
-        out.append(mixed(total + length.astype(np.uint64)).view(np.int64))
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        up, down = (np.full(len(h) + 1, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[:-1], dtype=np.uint64)])
+        value = (sums[first + length] - sums[first]) * up[first]
+        out.append(mixed(mixed(value) + length.astype(np.uint64)).view(np.int64))
     return out[0], out[1]
 
 
@@ -195,18 +194,18 @@ def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, most: int =
     some = staged(rows.where(held).join(firsts, "row").select("row", "late", "doc_id", "text", "firsts").mapInArrow(_pieces, PIECE), "pieces")
     drop(firsts)
     while True:
-        place, name = F.struct(*PLACE), ["key", "h1", "h2"]
+        name, place = ["key", "h1", "h2"], F.struct(*PLACE)
         distinct = staged(some.groupBy(*name).agg(F.min(place).alias("earliest")), "distinct-pieces")
-        marked = some.join(distinct, name).withColumn("copy", place != F.col("earliest")).drop("earliest")
-        marked = staged(marked.withColumn("words", F.when(~F.col("copy"), F.col("words"))), "marked-pieces")
-        drop(some)
         several = staged(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys-of-several")
-        drop(distinct)
+        where = some.select(*name, "row", "windows", *PLACE).join(distinct, name).where(place != F.col("earliest"))
+        copies = staged(where.select("row", "first", "windows"), "removed-copies")
+        at = F.xxhash64(*name, *PLACE)
+        wanted = staged(distinct.join(several, "key").select(*name, "earliest.*", "n").withColumn("at", at), "wanted-pieces")
+        drop(distinct, several)
         # equal rows stand at one place: of their pieces one goes on
-        single = marked.where("not copy").join(several, "key").groupBy(*name, *PLACE).agg(*(F.first(c).alias(c) for c in ("row", "windows", "lead", "words", "n")))
-        single = staged(single, "single-pieces")
-        copies = staged(marked.where("copy").select("row", "first", "windows"), "removed-copies")
-        drop(marked, several)
+        single = some.where(may_hold(key_filter(wanted.select("at")), at)).join(wanted.drop("at"), [*name, *PLACE])
+        single = staged(single.groupBy(*name, *PLACE).agg(*(F.first(c).alias(c) for c in ("row", "windows", "lead", "words", "n"))), "single-pieces")
+        drop(some, wanted)
         small = single.where(F.col("n") <= most)
         total = small.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
         shards = max(1, -(-total // shard_words))
