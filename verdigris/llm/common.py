@@ -18,7 +18,8 @@ from ..sources.staging import shared_folder
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is staged: what its writing shuffles is freed at its end, and batches of whole texts stay small.
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "3000"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,12 +33,14 @@ LIVE: list[tuple[SparkSession, str]] = []
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and the rows are computed once. What the writing has shuffled is freed at its end."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {name: spark.conf.get(name) for name in STAGING}
+    for name, value in STAGING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     LIVE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, read, slices, split, staged, without
 
-WIDTH, BLOCK_BYTES, SEGMENT_BYTES, CANDIDATES = 10, 2 << 20, 4_000_000, 1_000_000
+WIDTH, BLOCK_BYTES, SEGMENT_BYTES, CANDIDATES = 10, 2 << 20, 8_000_000, 1_000_000
 
 #: A-Z to a-z, all other ASCII but digits and a-z to a blank; bytes of other characters stay.
 FOLD = bytes((i + 32 if 0x41 <= i <= 0x5A else i) if i >= 0x80 or 0x30 <= i <= 0x39 or 0x41 <= i <= 0x5A or 0x61 <= i <= 0x7A else 0x20 for i in range(256))
