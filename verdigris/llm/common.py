@@ -189,7 +189,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last; the cache is emptied when it is full."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop, grams, key_filter, may_hold, mixed, read, slices, split, staged
+from .common import BLANK, WordHashes, drop, grams, key_filter, may_hold, mixed, read, slices, split, staged
 from .fm_index import FMIndex
 
 WINDOW, RUN = 20, 8
@@ -191,8 +191,9 @@ def removed_windows(rows: DataFrame, shard_words: int = SHARD_WORDS, most: int =
     drop(found, twice)
     level, removed = 0, []
     held = may_hold(key_filter(firsts.select("row")), F.col("row"))
-    some = staged(rows.where(held).join(firsts, "row").select("row", "late", "doc_id", "text", "firsts").mapInArrow(_pieces, PIECE), "pieces")
-    drop(firsts)
+    texts = staged(rows.where(held).join(firsts, "row").select("row", "late", "doc_id", "text", "firsts"), "texts-with-pieces")  # so that filter and pieces are not two Python workers of one task
+    some = staged(texts.mapInArrow(_pieces, PIECE), "pieces")
+    drop(firsts, texts)
     while True:
         name, place = ["key", "h1", "h2"], F.struct(*PLACE)
         distinct = staged(some.groupBy(*name).agg(F.min(place).alias("earliest")), "distinct-pieces")
@@ -248,10 +249,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     removed = removed_windows(known, shard_words, most)
     runs = staged(reduce(DataFrame.unionAll, removed).groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), "runs-to-remove")  # of one document
     drop(*removed)
-    held, none = may_hold(key_filter(runs.select("row")), F.col("row")), F.lit(None).cast(runs.schema["runs"].dataType)
-    rows = rows.where(held).join(runs, "row", "left").unionAll(rows.where(~held).withColumn("runs", none))
-    joined = rows.select(F.col("id").alias("doc_id"), "text", "runs")
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
+    held = may_hold(key_filter(runs.select("row")), F.col("row"))
+    some = staged(rows.where(held).join(runs, "row", "left").select(F.col("id").alias("doc_id"), "text", "runs"), "texts-with-runs")
+    drop(runs)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANK + "+"), lambda w: w != "")
+    plain = rows.where(~held).select(F.col("id").alias("doc_id"), words.alias("words"))
+    plain = plain.select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("words", " ").cast("binary").alias("kept"))
+    return some.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary").unionAll(plain)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
